@@ -69,8 +69,12 @@ class LineRuns:
         return self.spark.table(name)
 
     def _merged(self, names: list[str]) -> DataFrame:
-        rows = reduce(DataFrame.unionByName, [self.spark.table(n) for n in names])
-        return rows.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.lit(True).alias("fresh"))
+        merged, *rest = [self.spark.table(n).select("key", "n_docs", "last_doc") for n in names]
+        for run in rest:  # the runs have the same buckets and each key once: a merge join without a shuffle
+            both = merged.join(run.select("key", F.col("n_docs").alias("n"), F.col("last_doc").alias("last")).hint("merge"), "key", "full")
+            docs = F.coalesce("n_docs", F.lit(0)) + F.coalesce("n", F.lit(0))
+            merged = both.select("key", docs.alias("n_docs"), F.greatest("last_doc", "last").alias("last_doc"))
+        return merged.withColumn("fresh", F.lit(True))
 
     def _compact(self, level: int) -> None:
         merged = self._write(self._merged(self.levels[level]))
