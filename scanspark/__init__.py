@@ -1 +1,8 @@
 """scanspark: analytics on 3-D scan data as plain Spark tables."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
