@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanspark.llm import line_dedup, packing, simhash, token_counts, url_reputation
+from scanspark.llm import line_dedup, packing, quality_rules, shared, simhash, token_counts, url_reputation
 from scanspark.llm.shared import texts
 
 
@@ -19,6 +19,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # The text is read by the statistics only; what is stored has none.
+    stats = shared.stored(quality_rules.statistics(docs).drop("text"), "quality-statistics")
+    rules = quality_rules.learn(stats, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(stats, rules)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -40,6 +48,7 @@ def op9_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_quality_rules": op2_quality_rules,
     "op3_token_counts": op3_token_counts,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
