@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanspark.llm import decontaminate, line_dedup, packing, quality_rules, shared, simhash, token_counts, url_reputation
+from scanspark.llm import class_lm, decontaminate, line_dedup, packing, quality_rules, shared, simhash, token_counts, url_reputation
 from scanspark.llm.shared import texts
 
 
@@ -46,6 +46,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("of")
 
 
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", class_lm.held_out().alias("held_out"))
+    model = class_lm.fit(docs.filter(~F.col("held_out")))
+    return class_lm.score(docs, model, "held_out")
+
+
 def op9_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).drop("bad_low")
 
@@ -57,6 +63,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
     "op7_decontamination": op7_decontamination,
+    "op8_class_lm": op8_class_lm,
     "op9_url_verdicts": op9_url_verdicts,
 }
 
