@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanspark.llm import class_lm, decontaminate, line_dedup, packing, quality_rules, shared, simhash, token_counts, url_reputation
+from scanspark.llm import class_lm, decontaminate, line_dedup, packing, pii, quality_rules, shared, simhash, token_counts, url_reputation
 from scanspark.llm.shared import texts
 
 
@@ -56,6 +56,10 @@ def op9_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).drop("bad_low")
 
 
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), "op10")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -65,6 +69,7 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_class_lm": op8_class_lm,
     "op9_url_verdicts": op9_url_verdicts,
+    "op10_pii_pseudonyms": op10_pii_pseudonyms,
 }
 
 ORACLE_SQL = {
