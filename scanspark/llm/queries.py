@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanspark.llm import class_lm, decontaminate, line_dedup, packing, pii, quality_rules, shared, simhash, token_counts, url_reputation
+from scanspark.llm import class_lm, decontaminate, licenses, line_dedup, packing, pii, quality_rules, shared, simhash, token_counts, url_reputation
 from scanspark.llm.shared import texts
 
 
@@ -42,6 +42,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("of")
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
+    "op6_license_scan": op6_license_scan,
     "op7_decontamination": op7_decontamination,
     "op8_class_lm": op8_class_lm,
     "op9_url_verdicts": op9_url_verdicts,
