@@ -78,7 +78,7 @@ POINTS_BIG = """points_big AS (
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """trace_id, id, us (microseconds), ctrl_us (a controller clock that stands still now and then), value, kind."""
-    us = F.unix_micros("ts")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("trace_id"), F.col("event_id").alias("id"), us.alias("us"), (us - us % 3_600_000_000).alias("ctrl_us"), "value", F.col("event_type").alias("kind")
     )
@@ -120,4 +120,4 @@ MASKS = "masks AS (SELECT doc_id, quality = 1 AS predicted, toxic = 1 AS truth F
 
 def sql(*parts: str) -> str:
     """A query from table expressions and, last, the SELECT."""
-    return "WITH " + ",\n".join(parts[:-1]) + "\n" + parts[-1]
+    return ("WITH " + ",\n".join(parts[:-1]) + "\n" if parts[1:] else "") + parts[-1]
