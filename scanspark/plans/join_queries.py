@@ -207,11 +207,11 @@ def _(spark, sf):
     return t.groupBy(F.col("l_suppkey").alias("view_id"), F.col("l_linenumber").alias("v"), F.col("l_partkey").alias("u")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-@query("required_regions_missing", A.CANDIDATES, "need AS (SELECT * FROM (SELECT DISTINCT plan_id FROM candidates), (VALUES ('front'), ('back')) s(side), (SELECT unnest(range(0, 8))::INTEGER AS row))", "SELECT plan_id, side, row FROM need ANTI JOIN (SELECT * FROM candidates WHERE score > 0.53) c USING (plan_id, side, row)")
+@query("required_regions_missing", A.CANDIDATES, "need AS (SELECT * FROM (SELECT DISTINCT plan_id FROM candidates), (VALUES ('front'), ('back')) s(side), (SELECT unnest(range(0, 8))::INTEGER AS row))", "SELECT plan_id, side, row FROM need ANTI JOIN (SELECT * FROM candidates WHERE score > 0.49) c USING (plan_id, side, row)")
 def _(spark, sf):
     c = A.candidates(spark, sf)
     need = c.select("plan_id").distinct().withColumn("side", F.explode(F.array(F.lit("front"), F.lit("back")))).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    return need.join(c.filter("score > 0.53").select("plan_id", "side", "row"), ["plan_id", "side", "row"], "left_anti")
+    return need.join(c.filter("score > 0.49").select("plan_id", "side", "row"), ["plan_id", "side", "row"], "left_anti")
 
 
 @query("calibration_consistency", A.VIEWS, "f AS (SELECT *, first_value(tx) OVER w AS x, first_value(ty) OVER w AS y, first_value(tz) OVER w AS z FROM views WINDOW w AS (PARTITION BY session_id ORDER BY seq))", "SELECT session_id, view_id, greatest(abs(tx - x), abs(ty - y), abs(tz - z)) <= 0.3 AS consistent FROM f")

@@ -87,11 +87,11 @@ def _(spark, sf):
     return M.id_set_difference(t.filter("l_quantity > 47"), t.filter("l_tax > 0.075"), "id")
 
 
-@query("disjoint_check", A.CANDIDATES, "a AS (SELECT plan_id, candidate_id FROM candidates WHERE score > 0.5), b AS (SELECT plan_id, candidate_id FROM candidates WHERE score < 0.52)", "SELECT plan_id, count(b.candidate_id) AS shared, count(b.candidate_id) = 0 AS passed FROM a LEFT JOIN b USING (plan_id, candidate_id) GROUP BY 1")
+@query("disjoint_check", A.CANDIDATES, "a AS (SELECT plan_id, candidate_id FROM candidates WHERE score > 0.47), b AS (SELECT plan_id, candidate_id FROM candidates WHERE score < 0.48)", "SELECT plan_id, count(b.candidate_id) AS shared, count(b.candidate_id) = 0 AS passed FROM a LEFT JOIN b USING (plan_id, candidate_id) GROUP BY 1")
 def _(spark, sf):
     c = A.candidates(spark, sf)
-    b = c.filter("score < 0.52").select("plan_id", "candidate_id", F.lit(1).alias("one"))
-    j = c.filter("score > 0.5").select("plan_id", "candidate_id").join(b, ["plan_id", "candidate_id"], "left")
+    b = c.filter("score < 0.48").select("plan_id", "candidate_id", F.lit(1).alias("one"))
+    j = c.filter("score > 0.47").select("plan_id", "candidate_id").join(b, ["plan_id", "candidate_id"], "left")
     return j.groupBy("plan_id").agg(F.count("one").alias("shared"), (F.count("one") == 0).alias("passed"))
 
 
