@@ -18,8 +18,41 @@ from pyspark.sql import functions as F
 from scanspark.llm.shared import batches, stored
 from scanspark.llm.token_counts import tokenizer
 
-#: Distinct words whose ids a worker keeps.
-CACHE = 300_000
+#: Distinct words whose ids a worker keeps from task to task.
+CACHE = 1_000_000
+
+
+def plain(text: str) -> bool:
+    """Latin-1 only: there, Python and the tokenizer agree on letters and their lower case."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class WordIds(dict):
+    """Ids (little-endian unsigned 32-bit) by word, worked out when a word is first asked for. Each word is lower-case already or left as it is."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.tok = tokenizer(path)
+
+    def __missing__(self, word: str) -> bytes:
+        if word[-1:] in (".", ",") and word[:-1].isalpha() and plain(word):
+            ids = self[word[:-1]] + self[word[-1]]  # a run of letters and what follows are encoded each by itself
+        else:
+            ids = np.array(self.tok.encode_batch_fast([word], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
+
+    def of(self, text: str) -> bytes:
+        if len(self) > CACHE:
+            self.clear()
+        text = text.replace("\n", " ")
+        if plain(text):
+            text = text.lower()  # as the tokenizer does first; fewer words to keep
+        return b"".join(map(self.__getitem__, text.split(" ")))
 
 
 def tokenize_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -27,26 +60,22 @@ def tokenize_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: in
 
     A document is the ids that the tokenizer file at path gives for its text (null: empty) without added special
     tokens, then end_id. Documents longer than capacity are cut into pieces of capacity ids, the last may be shorter.
-    The tokenizer must drop white space (each word's ids then stand alone), as word-end BPE does: words are encoded once by a worker and kept.
+    The tokenizer must lower-case and drop white space (each word's ids then stand alone), as word-end BPE does: a worker encodes a word once and keeps its ids.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
+    # Each worker fills its own copy of the value, which outlives a task.
+    held = docs.sparkSession.sparkContext.broadcast({})
+
     def cut(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
-        ids_of: dict[str, bytes] = {}
+        if path not in held.value:
+            held.value[path] = WordIds(path)
+        ids_of = held.value[path]
         end = np.array([end_id], "<u4").tobytes()
         for frame in batches(frames):
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(*(c.to_pylist() for c in frame.columns), strict=True):
-                words = text.replace("\n", " ").split(" ")
-                new = list({w for w in words if w not in ids_of})
-                if new:
-                    if len(ids_of) > CACHE:
-                        ids_of.clear()
-                        new = list(set(words))
-                    for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                        ids_of[w] = np.array(e.ids, "<u4").tobytes()
-                ids = b"".join(map(ids_of.__getitem__, words)) + end
+                ids = ids_of.of(text) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for values, v in zip(out, (doc, piece, at // 4, len(part) // 4, part), strict=True):
@@ -113,14 +142,14 @@ def reduce_by_dominance(left: _Lengths, capacity: int) -> list[tuple[tuple[int,
 
 def _best_pair(left: _Lengths, x: int, room: int) -> int:
     """The largest sum within room of two pieces left, one of length x set apart."""
-    best, i, j = 0, 0, bisect_right(left.order, room) - 1
+    there = [y for y in left.order[: bisect_right(left.order, room)] if left.n[y] > (y == x)]
+    best, i, j = 0, 0, len(there) - 1
     while i <= j:
-        a, b = left.order[i], left.order[j]
-        if a + b > room:
+        if there[i] + there[j] > room:
             j -= 1
             continue
-        if left.n[a] - (a == x) > 0 and left.n[b] - (b == x) - (a == b) > 0:
-            best = max(best, a + b)
+        if i < j or left.n[there[i]] - (there[i] == x) > 1:
+            best = max(best, there[i] + there[j])
         i += 1
     return best
 
