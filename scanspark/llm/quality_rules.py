@@ -145,13 +145,13 @@ def learn(stats: DataFrame, labels: DataFrame, most_rules: int = 8, most_tests:
         return out
 
     rules: list[list[tuple[str, str, float]]] = []
-    rest = F.lit(True)
-    for _ in range(most_rules):
+    rest, barred = F.lit(True), set()
+    while len(rules) < most_rules:
         rule: list[tuple[str, str, float]] = []
         for _ in range(most_tests):
             part = rows.filter(~F.col("apart") & rest & holds(rule))
             counts = part.select("bad", F.posexplode("cell").alias("k", "cell")).groupBy("k", "cell").agg(F.sum("bad").alias("p"), F.count(F.lit(1)).alias("all")).collect()
-            best = _best_test(counts, steps, least)
+            best = _best_test(counts, steps, least, set() if rule else barred)
             if best is None:
                 break
             rule.append(best)
@@ -165,30 +165,35 @@ def learn(stats: DataFrame, labels: DataFrame, most_rules: int = 8, most_tests:
             p, n, p1, n1 = (got[4 * i + j] or 0 for j in range(4))
             if p >= least and p >= precision * n and p1 >= precision * n1:
                 worth.append(((2 * p - n) / n, p, -len(h), h))
-        if not worth:
-            break
+        if not worth:  # what begins with this feature doesn't hold on the rows set apart: another one begins
+            barred.add(rule[0][0])
+            continue
         rule = max(worth)[-1]
         rules.append(rule)
         rest = rest & ~holds(rule)
     return DecisionList([[(n.removeprefix("q_"), op, t) for n, op, t in r] for r in rules])
 
 
-def _best_test(counts: list, steps: dict[str, list[float]], least: int) -> tuple[str, str, float] | None:
-    """The test of the highest FOIL gain; counts: k (feature), cell, p (bad rows), all."""
+def _best_test(counts: list, steps: dict[str, list[float]], least: int, barred: set[str]) -> tuple[str, str, float] | None:
+    """The test of the highest FOIL gain, of equals that with the widest gap above its threshold; counts: k (feature), cell, p (bad rows), all."""
     by: dict[int, dict[int, tuple[int, int]]] = {}
     for r in counts:
         by.setdefault(r["k"], {})[r["cell"]] = (r["p"], r["all"] - r["p"])
-    best, gain = None, 1e-9
+    best, gain = None, (1e-9, 0.0)
     for k, cells in sorted(by.items()):
         name = MORE[k]
         p0, n0 = (sum(v[i] for v in cells.values()) for i in (0, 1))
         if not p0 or not n0:
             return None
+        if name in barred:
+            continue
         p = n = 0
         for at, t in enumerate(steps[name]):
             p, n = p + cells.get(at, (0, 0))[0], n + cells.get(at, (0, 0))[1]
+            above = steps[name][at + 1] if at + 1 < len(steps[name]) else t
+            gap = (above - t) / ((steps[name][-1] - steps[name][0]) or 1)
             for op, (a, b) in (("<=", (p, n)), (">", (p0 - p, n0 - n))):
-                if a >= least and (g := _entropy_gain(a, b, p0, n0)) > gain:
+                if a >= least and (g := (round(_entropy_gain(a, b, p0, n0), 6), gap)) > gain:
                     best, gain = (name, op, t), g
     return best
 
