@@ -1,46 +1,22 @@
-"""What several operators need: a scratch folder on shared storage, and ways to hand documents to Python workers."""
+"""What several operators need: scratch tables, and ways to hand documents to Python workers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanspark.sources.scratch import scratch_path, stored
+
+__all__ = ["LOWER", "UPPER", "WHITE", "batches", "lower_ascii", "scratch_path", "stored", "texts"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: The characters [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
 
-_local_root: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where it is unset, a temporary folder, in local mode only."""
-    root = spark.conf.get("spark.checkpoint.dir", "")
-    if root:
-        return root.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _local_root.setdefault("root", "file://" + tempfile.mkdtemp(prefix="spark-"))
-
-
-def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{scratch_root(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here, and a lost executor costs only its tasks."""
-    spark = df.sparkSession
-    path = scratch_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -16,8 +16,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanspark.llm.components import components
 from scanspark.llm.shared import batches, stored
+from scanspark.operators.graph import components
 
 #: Shingles hashed before their bits are added up.
 BLOCK = 1 << 16

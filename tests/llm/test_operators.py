@@ -12,7 +12,8 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from scanspark.llm import class_lm, components, decontaminate, licenses, line_dedup, packing, pii, quality_rules, simhash, token_counts, url_reputation
+from scanspark.llm import class_lm, decontaminate, licenses, line_dedup, packing, pii, quality_rules, simhash, token_counts, url_reputation
+from scanspark.operators.graph import components
 
 DOCS = "doc_id long, text string"
 WORDS = [a + b for a in ("ka", "lo", "mi", "tu", "se", "ra", "no", "vi") for b in ("ba", "den", "for", "gul", "har", "jin", "kos", "mel")]
@@ -180,7 +181,7 @@ def test_near_duplicates_and_one_kept(spark):
 
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001), (5, 5)]
-    got = dict(map(tuple, components.components(frame(spark, edges, "a long, b long")).collect()))
+    got = dict(map(tuple, components(frame(spark, edges, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(201)}, 1000: 1000, 1001: 1000}
 
 
