@@ -58,12 +58,12 @@ def _(spark, sf):
 
 @query("overlap_residuals", A.PIXELS, NATIVE, STEREO, f"""c AS (SELECT view_id, (u - {A.CX}) * z / {A.FX} AS x, (v - {A.CY}) * z / {A.FY} AS y, z FROM (SELECT *, CAST(depth_m AS DOUBLE) AS z FROM native) WHERE z IS NOT NULL),
 p AS (SELECT view_id, CAST(round_even({A.FX} * (x + 0.002) / z + {A.CX}, 0) AS BIGINT) AS u, CAST(round_even({A.FY} * y / z + {A.CY}, 0) AS BIGINT) AS v, z FROM c)""",
-"SELECT view_id, v, u, round(depth_m - z, 6) AS residual FROM p JOIN stereo USING (view_id, v, u) WHERE abs(depth_m - z) <= 0.0505")
+"SELECT view_id, v, u, round(depth_m - z, 6) + 0.0 AS residual FROM p JOIN stereo USING (view_id, v, u) WHERE abs(depth_m - z) <= 0.0505")
 def _(spark, sf):
     c = P.back_project(native(spark, sf).filter("depth_m IS NOT NULL"), *CAMERA).withColumn("x", F.col("x") + 0.002)
     p = P.project_points(c, *CAMERA).select("view_id", F.rint("pu").cast("long").alias("u"), F.rint("pv").cast("long").alias("v"), "z")
     j = p.join(stereo(spark, sf), P.PIXEL)
-    return j.select(*P.PIXEL, F.round(F.col("depth_m") - F.col("z"), 6).alias("residual")).filter(F.abs(F.col("depth_m") - F.col("z")) <= 0.0505)
+    return j.select(*P.PIXEL, (F.round(F.col("depth_m") - F.col("z"), 6) + 0.0).alias("residual")).filter(F.abs(F.col("depth_m") - F.col("z")) <= 0.0505)
 
 
 @query("visibility_join", A.PIXELS, NATIVE, STEREO, """t AS (SELECT view_id, v + 0.25::DOUBLE AS pv, u + 0.5::DOUBLE AS pu, CAST(depth_m AS DOUBLE) AS z FROM native WHERE depth_m IS NOT NULL),

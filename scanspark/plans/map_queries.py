@@ -97,7 +97,7 @@ def _(spark, sf):
 
 @query("tsdf_integrate", A.POINTS, """s AS (SELECT side, x, y, z, sqrt(x * x + y * y + (z - 1) * (z - 1)) AS len FROM points), r AS (SELECT *, k * 0.05 / 5 AS o FROM s, (SELECT unnest(range(-5, 6))::DOUBLE AS k) WHERE len > 0)""",
 """SELECT side, CAST(floor((x + x / len * o) / 0.03) AS BIGINT) AS ix, CAST(floor((y + y / len * o) / 0.03) AS BIGINT) AS iy, CAST(floor((z + (z - 1) / len * o) / 0.03) AS BIGINT) AS iz,
-round(avg(greatest(least(-o / 0.05, 1), -1)) + 0.0, 6) AS d, count(*) AS w FROM r GROUP BY 1, 2, 3, 4""")
+round(avg(greatest(least(-o / 0.05, 1), -1)), 6) + 0.0 AS d, count(*) AS w FROM r GROUP BY 1, 2, 3, 4""")
 def _(spark, sf):
     p = A.points(spark, sf).withColumns({"cx": F.lit(0.0), "cy": F.lit(0.0), "cz": F.lit(1.0)})
     return M.tsdf_integrate(p, 0.03, 0.05, 5).withColumn("d", F.round("d", 6) + 0.0)

@@ -104,19 +104,20 @@ def _(spark, sf):
     return P.transform_points(cloud(spark, sf).filter("z IS NOT NULL"), A.views(spark, sf)).select(*P.PIXEL, *r6("x", "y", "z"))
 
 
-@query("compose_pose", A.VIEWS, """SELECT view_id, a.r00 * b.r00 + a.r01 * b.r10 AS r00, a.r10 * b.r01 + a.r11 * b.r11 AS r11, a.r00 * b.tx + a.r01 * b.ty + a.r02 * b.tz + a.tx AS tx,
-a.r10 * b.tx + a.r11 * b.ty + a.r12 * b.tz + a.ty AS ty, a.r20 * b.tx + a.r21 * b.ty + a.r22 * b.tz + a.tz AS tz
+@query("compose_pose", A.VIEWS, """SELECT view_id, a.r00 * b.r00 + a.r01 * b.r10 + 0.0 AS r00, a.r10 * b.r01 + a.r11 * b.r11 + 0.0 AS r11, a.r00 * b.tx + a.r01 * b.ty + a.r02 * b.tz + a.tx + 0.0 AS tx,
+a.r10 * b.tx + a.r11 * b.ty + a.r12 * b.tz + a.ty + 0.0 AS ty, a.r20 * b.tx + a.r21 * b.ty + a.r22 * b.tz + a.tz + 0.0 AS tz
 FROM views a JOIN (SELECT view_id - 1 AS view_id, * EXCLUDE (view_id) FROM views) b USING (view_id)""")
 def _(spark, sf):
     v = A.views(spark, sf)
     b = v.select((F.col("view_id") - 1).alias("view_id"), *(F.col(c).alias("b_" + c) for c in C.POSE))
     made = C.flat(C.compose(C.pose(), C.pose("b_")))
-    return v.join(b, "view_id").select("view_id", *made).select("view_id", "r00", "r11", "tx", "ty", "tz")
+    return v.join(b, "view_id").select("view_id", *made).select("view_id", *((F.col(c) + 0.0).alias(c) for c in ("r00", "r11", "tx", "ty", "tz")))
 
 
-@query("invert_pose", A.VIEWS, """SELECT view_id, r00, r10 AS r01, r01 AS r10, -(r00 * tx + r10 * ty + r20 * tz) + 0.0 AS tx, -(r01 * tx + r11 * ty + r21 * tz) + 0.0 AS ty, -(r02 * tx + r12 * ty + r22 * tz) + 0.0 AS tz FROM views""")
+@query("invert_pose", A.VIEWS, """SELECT view_id, r00 + 0.0 AS r00, r10 + 0.0 AS r01, r01 + 0.0 AS r10, -(r00 * tx + r10 * ty + r20 * tz) + 0.0 AS tx, -(r01 * tx + r11 * ty + r21 * tz) + 0.0 AS ty, -(r02 * tx + r12 * ty + r22 * tz) + 0.0 AS tz FROM views""")
 def _(spark, sf):
-    return A.views(spark, sf).select("view_id", *C.flat(C.invert(C.pose()))).select("view_id", "r00", "r01", "r10", "tx", "ty", "tz")
+    back = A.views(spark, sf).select("view_id", *C.flat(C.invert(C.pose())))
+    return back.select("view_id", *((F.col(c) + 0.0).alias(c) for c in ("r00", "r01", "r10", "tx", "ty", "tz")))
 
 
 @query("rotation_angle", A.VIEWS, "SELECT view_id, round(degrees(acos(greatest(least((r00 + r11 + r22 - 1) / 2, 1), -1))), 6) AS angle_deg FROM views")
