@@ -253,3 +253,42 @@ def test_query_equals_its_sql(spark, name):
     assert names == sorted(want.columns)
     at = [want.columns.index(n) for n in names]
     assert sorted(repr(tuple(r[n] for n in names)) for r in got.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
+
+
+def test_mesh_of_a_ball_is_closed(spark):
+    from scanspark.operators import surface
+
+    n = 8
+    rows = [(1, x, y, z, math.dist((x, y, z), (4, 4, 4)) - 2.6, 5.0) for x in range(n + 1) for y in range(n + 1) for z in range(n + 1)]
+    mesh = surface.extract_mesh(spark.createDataFrame(rows, "side int, ix long, iy long, iz long, d double, w double"), 0.1, 1.0)
+    edges = maps.mesh_edges(mesh.withColumn("mesh_id", F.lit(1)))
+    assert edges.count() > 100 and edges.filter("n <> 2").count() == 0
+    t = np.array([[r[f"{p}{a}"] for p in "abc" for a in "xyz"] for r in mesh.collect()]).reshape(-1, 3, 3)
+    volume = np.einsum("ni,ni->n", t[:, 0], np.cross(t[:, 1], t[:, 2])).sum() / 6
+    assert volume == pytest.approx(4 / 3 * math.pi * 0.26**3, rel=0.1)
+
+
+def test_height_surface_and_protrusion(spark):
+    from scanspark.operators import surface
+
+    pts = [(1, i, x := 0.1 * (i % 20), y := 0.1 * (i // 20), 0.2 * x * x - 0.1 * y + 0.05 + (0.5 if 105 <= i < 109 else 0.0)) for i in range(400)]
+    p = spark.createDataFrame(pts, "k int, point_id long, x double, y double, z double")
+    got = surface.segment_protrusion(p, ["k"], "point_id", 0.2, 0.15, 3).collect()
+    assert sorted(r.point_id for r in got) == [105, 106, 107, 108] and all(r.passed and r.size == 4 for r in got)
+
+
+def test_pose_sets(spark):
+    from scanspark.operators import surface
+
+    def turn(axis, deg):
+        k, s, c = np.array(axis, float), math.sin(math.radians(deg)), math.cos(math.radians(deg))
+        m = np.array([[0, -k[2], k[1]], [k[2], 0, -k[0]], [-k[1], k[0], 0]])
+        return np.eye(3) + s * m + (1 - c) * m @ m
+
+    rows = [(1, i, *turn((0, 0, 1), d).ravel().tolist(), 0.1 * i, 0.0, 0.0) for i, d in enumerate((-10, 0, 10))]
+    rows += [(2, i, *r.ravel().tolist(), 0.0, 0.0, 0.0) for i, r in enumerate((np.eye(3), turn((0, 0, 1), 30), turn((1, 0, 0), 30)))]
+    p = spark.createDataFrame(rows, "k int, i int, " + ", ".join(f"{c} double" for c in C.POSE))
+    loop = {r.k: r for r in surface.pose_loop_metrics(p, "k").collect()}
+    assert loop[1].most_deg == pytest.approx(10, abs=1e-5) and loop[1].rmse_m == pytest.approx(0.1 * math.sqrt(2 / 3))
+    seen = {r.k: r for r in surface.pose_observability(p, "k", "i").collect()}
+    assert seen[1].most_deg == pytest.approx(20, abs=1e-5) and seen[1].axis_diversity == pytest.approx(0, abs=1e-6) and seen[2].axis_diversity > 0.3
