@@ -172,7 +172,7 @@ def iban(m: Column, key: str) -> Column:
 
 
 def email(m: Column, key: str) -> Column:
-    """The same number of characters before the @, and a domain that cannot exist."""
+    """Hexadecimal digits in place of what stands before the @ (as many, twelve at least), and a domain that cannot exist."""
     hashed = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m)), 256)
     return F.concat(F.substring(hashed, F.lit(1), F.greatest(F.lit(12), F.locate("@", m) - 1)), F.lit("@example.invalid"))
 
