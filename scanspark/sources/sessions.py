@@ -139,3 +139,30 @@ def run_model(frames: DataFrame, model, schema: str) -> DataFrame:
             yield pa.RecordBatch.from_pandas(model(part.to_pandas()), preserve_index=False)
 
     return frames.mapInArrow(applied, schema)
+
+
+POSE_JSON = "struct<tx: double, ty: double, tz: double>"
+VIEW_JSON = f"struct<view_id: long, seq: int, robot: struct<before: {POSE_JSON}, after: {POSE_JSON}, selected: {POSE_JSON}>, sync: struct<bracket_ms: double, offset_ms: double>>"
+
+
+def flatten_view_metadata(views: DataFrame, column: str = "metadata") -> DataFrame:
+    """View JSON to typed columns: the selected robot pose, how far the robot moved around the frame, and the synchronisation figures."""
+    v = views.select(F.from_json(column, VIEW_JSON, {"mode": "FAILFAST"}).alias("v")).select("v.*")
+    moved = F.sqrt(sum(((F.col(f"robot.after.{t}") - F.col(f"robot.before.{t}")) ** 2 for t in ("ty", "tz")), (F.col("robot.after.tx") - F.col("robot.before.tx")) ** 2))
+    return v.select("view_id", "seq", "robot.selected.*", moved.alias("moved_m"), "sync.*")
+
+
+def write_ledger(ledger: DataFrame, path: str, ledger_id: str, generation: int) -> None:
+    """One generation of a coverage ledger; a generation is never overwritten."""
+    ledger.write.mode("error").parquet(f"{path}/ledger_id={ledger_id}/generation={generation}")
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The newest generation of each ledger."""
+    rows = spark.read.parquet(path)
+    newest = rows.groupBy("ledger_id").agg(F.max("generation").alias("generation"))
+    return rows.join(newest, ["ledger_id", "generation"])
+
+
+def read_clouds(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
