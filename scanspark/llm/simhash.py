@@ -58,24 +58,39 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, with_text: bool
     return docs.mapInArrow(made, schema)
 
 
-def variants(fp: Column, max_bits: int) -> Column:
-    """An array of longs: for each segment and each of its bits, the segment without that bit, marked with both."""
+def segments(max_bits: int) -> list[tuple[int, int]]:
+    """First bit and width of each segment; two at least."""
     parts = max(2, max_bits // 2 + 1)
     bounds = [64 * i // parts for i in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def variants(fp: Column, max_bits: int) -> Column:
+    """An array of longs: for each segment and each of its bits, the segment without that bit, marked (from bit 48 on) with the bit's place."""
     made = []
-    for i in range(parts):
-        low, width = bounds[i], bounds[i + 1] - bounds[i]
+    for low, width in segments(max_bits):
         segment = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
         made += [segment.bitwiseAND(F.lit(~(1 << k))).bitwiseOR(F.lit((low + k) << 48)) for k in range(width)]
     return F.array(*made)
 
 
+def first_common(difference: Column, max_bits: int) -> Column:
+    """The place that marks the first variant two fingerprints have in common, from the bits in which they differ."""
+    place = F.lit(None).cast("int")
+    for low, width in reversed(segments(max_bits)):
+        part = F.shiftrightunsigned(difference, low).bitwiseAND(F.lit((1 << width) - 1))
+        n = F.bit_count(part)
+        place = F.when(n == 0, low).when(n == 1, low + F.bit_count(part - 1)).otherwise(place)
+    return place
+
+
 def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
-    """a, b (a < b) for all pairs of the distinct longs in prints.fp that differ in 1 to max_bits bits, each pair once or more."""
+    """a, b (a < b) for all pairs of the distinct longs in prints.fp that differ in 1 to max_bits bits: a pair counts at its first common variant only."""
     cut = prints.select("fp", F.explode(variants(F.col("fp"), max_bits)).alias("variant"))
     a, b = cut.select(F.col("fp").alias("a"), "variant"), cut.select(F.col("fp").alias("b"), "variant")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    return a.join(b.hint("merge"), "variant").filter((F.col("a") < F.col("b")) & near).select("a", "b")
+    difference = F.col("a").bitwiseXOR(F.col("b"))
+    first = F.shiftrightunsigned("variant", 48).cast("int") == first_common(difference, max_bits)
+    return a.join(b.hint("merge"), "variant").filter((F.col("a") < F.col("b")) & (F.bit_count(difference) <= max_bits) & first).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = 2, size: int = 3, seed: int = 42, with_text: bool = True) -> DataFrame:
@@ -94,8 +109,17 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, size: int = 3, seed: int
 
 
 def keep_one(docs: DataFrame, max_bits: int = 2, size: int = 3, seed: int = 42) -> DataFrame:
-    """One document of each near-duplicate component of docs: that of the smallest doc_id (of repeated rows of it, one)."""
-    near = near_duplicates(docs.withColumn("__at", F.monotonically_increasing_id()), max_bits, size, seed)
-    first = near.groupBy("component_id").agg(F.min(F.struct("doc_id", "__at")).alias("__first"))
-    first = first.select(F.col("__first.__at").alias("__at"))
-    return near.join(first.hint("shuffle_hash"), "__at", "left_semi").select(*docs.columns)
+    """One document of each near-duplicate component of docs: that of the smallest doc_id (of repeated rows of it, one).
+
+    Groups are found on ids and hashes of rows; the texts are shuffled once, to meet the list of those that stay.
+    """
+    of = F.xxhash64("doc_id", "text")
+    near = near_duplicates(docs.select("doc_id", "text", of.alias("of")), max_bits, size, seed, with_text=False)
+    first = near.groupBy("component_id").agg(F.min(F.struct("doc_id", "of")).alias("m")).select("m.doc_id", "m.of")
+    rows = near.groupBy("doc_id", "of").agg(F.count(F.lit(1)).alias("n"))
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.of") == F.col(f"{b}.of"))
+    stay = rows.alias("a").join(first.alias("b"), same("a", "b"), "left_semi").select(F.col("doc_id").alias("__doc_id"), F.col("of").alias("__of"), F.col("n").alias("__n"))
+    stay = stored(stay, "stay")
+    kept = docs.withColumn("__row", of).join(stay.hint("shuffle_hash"), (F.col("__row") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")))
+    once = kept.filter("__n = 1").select(*docs.columns)
+    return once.unionByName(kept.filter("__n > 1").dropDuplicates(["__row", "__doc_id"]).select(*docs.columns))
