@@ -1,15 +1,17 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-Words are lower-cased and lose punctuation at their ends. Every test item's n-grams are counted over the whole corpus; an
-item's seeds are its rarer half (never none, however common the item is in the corpus). Documents that hold a seed give up the
-passages around their seeds, the passages are joined to the items by seed, and each pair is aligned word by word.
+Words are lower-cased and lose punctuation at their ends. Every test item's n-grams are counted over the whole corpus; of those
+that occur there, an item's seeds are its rarest, so many that every alignment that scores enough holds one (see surviving).
+Documents that hold a seed give up the passages around their seeds, the passages are joined to the items by seed, and each pair
+that has enough n-grams in common is aligned word by word.
 Tasks hold a bit filter of fixed size of the seeds' hashes, so only hits leave them; the join on hashes then is exact.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -97,16 +99,37 @@ def _passing(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
 
 
-def item_grams(items: DataFrame, n: int) -> DataFrame:
-    """item_id, n_words, gram (one row for each distinct n-gram) of items (item_id, text); items without words give no row."""
+def surviving(n_words: int, n: int, least_score: float, least_words: int) -> tuple[int, int]:
+    """The seed length for an item (n at most), and how many of its n-grams of that length every alignment of least_score of its words keeps.
+
+    Of m matches and e errors (m - e >= score, m <= n_words) the matches lie in e + 1 runs at most, so m - (size - 1) * (e + 1) n-grams are
+    whole; that is least where all words match and the errors are added words.
+    """
+    score = max(1, math.ceil(least_score * n_words))
+    for size in range(min(n, n_words), 1, -1):
+        left = n_words - (size - 1) * (n_words - score + 1)
+        if left > 0:
+            return size, left
+    return 1, max(score, min(least_words, n_words))
+
+
+def item_grams(items: DataFrame, n: int, least_score: float, least_words: int) -> DataFrame:
+    """item_id, n_words, size, left (see surviving), gram, times (one row for each distinct n-gram) of items (item_id, text); items without words give no row."""
+    schema = pa.schema([("item_id", pa.int64()), ("n_words", pa.int32()), ("size", pa.int32()), ("left", pa.int32()), ("gram", pa.int64()), ("times", pa.int32())])
 
     def cut(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for frame in frames:
-            rows = [(i, len(w), g) for i, t in zip(*(c.to_pylist() for c in frame.columns), strict=True) for w in [words(t or b"")] for g in np.unique(grams(w, n)).view(np.int64).tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[], [], []], (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["item_id", "n_words", "gram"])
+            rows = []
+            for i, t in zip(*(c.to_pylist() for c in frame.columns), strict=True):
+                w = words(t or b"")
+                size, left = surviving(len(w), n, least_score, least_words)
+                g, times = np.unique(grams(w, size), return_counts=True)
+                rows += [(i, len(w), size, left, *one) for one in zip(g.view(np.int64).tolist(), times.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [[]] * len(schema), schema, strict=True)], schema=schema)
 
-    return items.select(F.col("item_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(cut, "item_id long, n_words int, gram long")
+    ddl = "item_id long, n_words int, size int, left int, gram long, times int"
+    return items.select(F.col("item_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(cut, ddl)
 
 
 def _filter_of(spark, hashes: DataFrame):
@@ -124,8 +147,8 @@ def _filter_of(spark, hashes: DataFrame):
     return spark.sparkContext.broadcast(bits)
 
 
-def gram_counts(docs: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
-    """gram, found: how often the whole corpus has each n-gram in seeds (those it has at all; a few others may be among them)."""
+def gram_counts(docs: DataFrame, seeds: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """gram, found: how often the whole corpus has each n-gram (of the given lengths) in seeds (those it has at all; a few others may be among them)."""
     held = _filter_of(docs.sparkSession, seeds)
 
     def counted(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,8 +161,9 @@ def gram_counts(docs: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
 
         for frame in frames:
             for text in frame.column(0).to_pylist():
-                g = grams(words(text or b""), n)
-                if len(g):
+                w = words(text or b"")
+                for size in sizes if len(w) else ():
+                    g = grams(w, size)
                     counts.update(g[_passing(g, held.value)].view(np.int64).tolist())
                 if len(counts) > FLUSH:
                     yield out()
@@ -148,16 +172,17 @@ def gram_counts(docs: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("text").cast("string").cast("binary")).mapInArrow(counted, "gram long, found long").groupBy("gram").agg(F.sum("found").alias("found"))
 
 
-def rare_seeds(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """item_id, n_words, gram: the n-grams of each item that are no more frequent in docs than the item's median n-gram."""
-    seeds = stored(item_grams(items, n), "item-grams")
-    found = seeds.join(gram_counts(docs, seeds, n), "gram", "left").withColumn("found", F.coalesce("found", F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("found", "gram"))
-    found = found.withColumn("rank", rank).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
-    return stored(found.filter(2 * F.col("rank") <= F.col("all") + 1).select("item_id", "n_words", "gram"), "seeds")
+def rare_seeds(docs: DataFrame, items: DataFrame, n: int, least_score: float, least_words: int) -> tuple[DataFrame, list[int]]:
+    """item_id, n_words, gram: of each item's n-grams that docs have, the rarest, ties included, so that fewer places of others are left than survive; and the lengths of n-grams."""
+    seeds = stored(item_grams(items, n, least_score, least_words), "item-grams")
+    sizes = sorted(r[0] for r in seeds.select("size").distinct().collect())
+    found = seeds.join(gram_counts(docs, seeds, sizes), "gram").filter("found > 0")
+    # Places of n-grams as frequent or more so; a window is as long as an item.
+    others = F.sum("times").over(Window.partitionBy("item_id").orderBy(F.desc("found")))
+    return stored(found.withColumn("others", others).filter(F.col("others") >= F.col("left")).select("item_id", "n_words", "gram"), "seeds"), sizes
 
 
-def passages(docs: DataFrame, seeds: DataFrame, n: int, span: int) -> DataFrame:
+def passages(docs: DataFrame, seeds: DataFrame, sizes: Sequence[int], span: int) -> DataFrame:
     """doc_id, of, first, words (binary: word hashes), grams: stretches of documents within span words of n-grams that may be seeds.
 
     Stretches that overlap are one; first is the number of the stretch's first word in its document. of is a column of docs.
@@ -171,12 +196,15 @@ def passages(docs: DataFrame, seeds: DataFrame, n: int, span: int) -> DataFrame:
             out: list[list] = [[], [], [], [], []]
             for doc, of, text in zip(*(c.to_pylist() for c in frame.columns), strict=True):
                 w = words(text or b"")
-                g = grams(w, n)
-                if not len(g):
+                if not len(w):
                     continue
-                at = np.flatnonzero(_passing(g, held.value))
-                for part in np.split(at, np.flatnonzero(np.diff(at) > 2 * span) + 1) if len(at) else []:
-                    a, b = max(0, int(part[0]) - span), int(part[-1]) + n + span
+                g = [grams(w, size) for size in sizes]
+                at = [np.flatnonzero(_passing(x, held.value)) for x in g]
+                g, at = np.concatenate([x[k] for x, k in zip(g, at, strict=True)]), np.concatenate(at)
+                order = np.argsort(at, kind="stable")
+                g, at = g[order], at[order]
+                for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 2 * span) + 1) if len(at) else []:
+                    a, b = max(0, int(at[part[0]]) - span), int(at[part[-1]]) + sizes[-1] + span
                     for values, v in zip(out, (doc, of, a, w[a:b].tobytes(), np.unique(g[part]).view(np.int64).tolist()), strict=True):
                         values.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
@@ -195,9 +223,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = 3, least_score: float
     """
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("of"))
     items = items.select("item_id", "text").dropDuplicates(["item_id"])
-    seeds = rare_seeds(docs, items, n)
+    seeds, sizes = rare_seeds(docs, items, n, least_score, least_words)
     longest = seeds.agg(F.max("n_words")).first()[0] or 0
-    held = stored(passages(docs, seeds, n, longest).withColumn("passage", F.md5("words")), "passages")
+    # No alignment that scores enough is longer: it has n_words matches and (1 - least_score) * n_words errors at most.
+    span = math.ceil((2 - least_score) * longest)
+    held = stored(passages(docs, seeds, sizes or [n], span).withColumn("passage", F.md5("words")), "passages")
     pairs = held.select("passage", F.explode("grams").alias("gram")).join(seeds, "gram").select("passage", "item_id").distinct()
     held_once = held.groupBy("passage").agg(F.first("words").alias("words"))
     pairs = pairs.join(held_once, "passage").join(items.select("item_id", F.col("text").cast("string").cast("binary").alias("text")), "item_id")
@@ -208,8 +238,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = 3, least_score: float
         for frame in batches(frames):
             rows = []
             for passage, item, w, text in zip(*(c.to_pylist() for c in frame.columns), strict=True):
-                own = words(text or b"")
-                points, matches, a, b = align(np.frombuffer(w, np.uint64), own)
+                own, there = words(text or b""), np.frombuffer(w, np.uint64)
+                size, left = surviving(len(own), n, least_score, least_words)
+                if np.isin(grams(there, size), grams(own, size)).sum() < left:
+                    continue
+                points, matches, a, b = align(there, own)
                 rows.append((passage, item, points, matches, len(own), a, b))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [[]] * len(schema), schema, strict=True)], schema=schema)
 

@@ -308,6 +308,34 @@ def test_leaks_exact_edited_common_and_none(spark):
     assert decontaminate.find_leaks(frame(spark, docs), frame(spark, [], "item_id long, text string")).count() == 0
 
 
+def test_leaks_of_edited_and_half_items_equal_brute_force(spark):
+    items, docs = [], []
+    for size in (20, 30, 40):
+        for every in (4, 5, 6):
+            words = prose(size, 7000 + 10 * size + every).split()
+            items.append((len(items), " ".join(words)))
+            edited = " ".join(f"edited{k}" if k % every == every - 1 else w for k, w in enumerate(words))
+            docs.append((len(docs), f"{prose(90, 7500 + len(docs))} {edited} {prose(70, 7600 + len(docs))}"))
+        words = prose(size, 7100 + size).split()
+        items.append((len(items), " ".join(words)))
+        docs += [(len(docs) + i, f"{prose(60, 7700 + size + i)} {' '.join(words[: size // 2])} {prose(60, 7800 + size + i)}") for i in range(20)]
+        words = prose(size, 7200 + size).split()
+        items.append((len(items), " ".join(words)))
+        docs.append((len(docs), " ".join(f"{w} added{k}" if k % 2 else w for k, w in enumerate(words))))
+    items.append((len(items), "karamba lodeno"))
+    docs += [(len(docs), "a karamba b lodeno c"), (len(docs) + 1, "karamba alone")]
+    words = decontaminate.Words()
+    want = {}
+    for d, text in docs:
+        for i, item in items:
+            own = words(item.encode())
+            score, matches, *_ = decontaminate.align(words(text.encode()), own)
+            if 2 * score >= len(own) and matches >= min(8, len(own)):
+                want[d, i] = score / len(own)
+    got = decontaminate.find_leaks(frame(spark, docs), frame(spark, items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == want and len(want) == 9 + 60 + 3
+
+
 # 8: class language model
 
 
