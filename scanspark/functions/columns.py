@@ -127,6 +127,17 @@ def segment_point_gap(a: Vector, b: Vector, p: Vector) -> Column:
     return norm([q - (x + t * d) for x, d, q in zip(a, ab, p, strict=True)])
 
 
+def segment_gap(a: Vector, b: Vector, c: Vector, d: Vector) -> Column:
+    """Distance of the segments ab and cd: that of the nearest points inside both lines if both segments hold them, else the least of an end to the other segment."""
+    u, v, w = ([y - x for x, y in zip(p, q, strict=True)] for p, q in ((a, b), (c, d), (c, a)))
+    uu, uv, vv, uw, vw = dot(u, u), dot(u, v), dot(v, v), dot(u, w), dot(v, w)
+    across = uu * vv - uv * uv
+    s, t = (F.try_divide(x, across) for x in (uv * vw - vv * uw, uu * vw - uv * uw))
+    inner = norm([z + s * x - t * y for x, y, z in zip(u, v, w, strict=True)])
+    inner = F.when((across > 1e-12 * uu * vv) & s.between(0.0, 1.0) & t.between(0.0, 1.0), inner)
+    return F.least(inner, segment_point_gap(a, b, c), segment_point_gap(a, b, d), segment_point_gap(c, d, a), segment_point_gap(c, d, b))
+
+
 def observation_id(name: Column, seq: Column, frame: Column, view: Column) -> Column:
     return F.concat_ws(":", F.concat(name, F.lit("-"), F.substring(F.sha2(name, 256), 1, 8)), seq.cast("string"), frame.cast("string"), view.cast("string"))
 

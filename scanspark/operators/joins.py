@@ -144,14 +144,14 @@ def voxel_in_boxes(voxels: DataFrame, boxes: DataFrame, size: float, tolerance:
 def capsule_findings(capsules: DataFrame, clearance: float) -> DataFrame:
     """sample_id, i, j of capsules (a chain of segments by number, radius r, from x0.. to x1..) that are no neighbours (j >= i + 2) and nearer than r + r + clearance.
 
-    The distance is that of the ends to the other segment, the least of four.
+    The distance is that of the segments, wherever on them the nearest points lie.
     """
     ends = [f"{a}{k}" for k in (0, 1) for a in "xyz"]
     a = capsules.select("sample_id", F.col("n").alias("i"), F.col("r").alias("ra"), *(F.col(c).alias("a" + c) for c in ends))
     b = capsules.select("sample_id", F.col("n").alias("j"), F.col("r").alias("rb"), *(F.col(c).alias("b" + c) for c in ends))
     j = a.join(b, "sample_id").filter("j >= i + 2")
     p = lambda s, k: [F.col(f"{s}{x}{k}") for x in "xyz"]
-    gap = F.least(C.segment_point_gap(p("a", 0), p("a", 1), p("b", 0)), C.segment_point_gap(p("a", 0), p("a", 1), p("b", 1)), C.segment_point_gap(p("b", 0), p("b", 1), p("a", 0)), C.segment_point_gap(p("b", 0), p("b", 1), p("a", 1)))
+    gap = C.segment_gap(p("a", 0), p("a", 1), p("b", 0), p("b", 1))
     return j.withColumn("gap", gap).filter(F.col("gap") <= F.col("ra") + F.col("rb") + clearance).select("sample_id", "i", "j", "gap")
 
 
