@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,13 +112,13 @@ def _entropy_gain(p: float, n: float, p0: float, n0: float) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else -math.inf
 
 
-def learn(stats: DataFrame, labels: DataFrame, most_rules: int = 8, most_tests: int = 3, cuts: int = 64, precision: float = 0.95, least: int = 5, rest_share: float = 0.02) -> DecisionList:
+def learn(stats: DataFrame, labels: DataFrame, most_tests: int = 3, cuts: int = 64, precision: float = 0.95, least: int = 5) -> DecisionList:
     """A decision list for bad documents (labels.quality = 0; of several labels for one doc_id the worst) from stats (doc_id, MORE).
 
     All labelled rows that pass the base limits count. Thresholds are quantiles of the features (`cuts` of them); what reaches the driver is a
     histogram of features x cuts for each test added. A third of the rows, by a hash of doc_id, is set apart for pruning. A rule
-    needs `least` bad rows set apart and the given precision on both parts. The search ends when no more than rest_share of the bad rows are
-    uncovered, or two beginnings of a rule have failed. Without labels the list is empty.
+    needs `least` bad rows set apart and the given precision on both parts. The search ends when no feature that is left begins such a rule;
+    after each rule all features may begin again. Without labels the list is empty.
     """
     told = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 0).cast("int")).alias("bad")).filter(F.col("bad").isNotNull())
     rows = stored(stats.filter(~base_failed()).select("doc_id", *MORE).join(told, "doc_id"), "labelled")
@@ -147,12 +148,13 @@ def learn(stats: DataFrame, labels: DataFrame, most_rules: int = 8, most_tests:
 
     rules: list[list[tuple[str, str, float]]] = []
     rest, barred = F.lit(True), set()
-    bad, left = rows.agg(F.coalesce(F.sum("bad"), F.lit(0))).first()[0], None
-    while len(rules) < most_rules and len(barred) < 2 and (left is None or left > rest_share * bad):
+    while len(barred) < len(MORE):
         rule: list[tuple[str, str, float]] = []
         for _ in range(most_tests):
             part = rows.filter(~F.col("apart") & rest & holds(rule))
-            counts = part.select("bad", F.posexplode("cell").alias("k", "cell")).groupBy("k", "cell").agg(F.sum("bad").alias("p"), F.count(F.lit(1)).alias("all")).collect()
+            # One histogram for each feature: no row is multiplied.
+            each = [part.groupBy(F.lit(k).alias("k"), F.col("cell")[k].alias("cell")).agg(F.sum("bad").alias("p"), F.count(F.lit(1)).alias("all")) for k in range(len(MORE))]
+            counts = reduce(DataFrame.unionAll, each).collect()
             best = _best_test(counts, steps, least, set() if rule else barred)
             if best is None:
                 break
@@ -172,8 +174,7 @@ def learn(stats: DataFrame, labels: DataFrame, most_rules: int = 8, most_tests:
             continue
         rule = max(worth)[-1]
         rules.append(rule)
-        rest = rest & ~holds(rule)
-        left = rows.filter(rest).agg(F.coalesce(F.sum("bad"), F.lit(0))).first()[0]
+        rest, barred = rest & ~holds(rule), set()
     return DecisionList([[(n.removeprefix("q_"), op, t) for n, op, t in r] for r in rules])
 
 
