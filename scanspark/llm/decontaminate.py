@@ -114,8 +114,8 @@ def surviving(n_words: int, n: int, least_score: float, least_words: int) -> tup
 
 
 def item_grams(items: DataFrame, n: int, least_score: float, least_words: int) -> DataFrame:
-    """item_id, n_words, size, left (see surviving), gram, times (one row for each distinct n-gram) of items (item_id, text); items without words give no row."""
-    schema = pa.schema([("item_id", pa.int64()), ("n_words", pa.int32()), ("size", pa.int32()), ("left", pa.int32()), ("gram", pa.int64()), ("times", pa.int32())])
+    """item, n_words, size, left (see surviving), gram, times (one row for each distinct n-gram) of items (item, text); items without words give no row."""
+    schema = pa.schema([("item", pa.int64()), ("n_words", pa.int32()), ("size", pa.int32()), ("left", pa.int32()), ("gram", pa.int64()), ("times", pa.int32())])
 
     def cut(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -128,8 +128,8 @@ def item_grams(items: DataFrame, n: int, least_score: float, least_words: int) -
                 rows += [(i, len(w), size, left, *one) for one in zip(g.view(np.int64).tolist(), times.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [[]] * len(schema), schema, strict=True)], schema=schema)
 
-    ddl = "item_id long, n_words int, size int, left int, gram long, times int"
-    return items.select(F.col("item_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(cut, ddl)
+    ddl = "item long, n_words int, size int, left int, gram long, times int"
+    return items.select("item", F.col("text").cast("string").cast("binary")).mapInArrow(cut, ddl)
 
 
 def _filter_of(spark, hashes: DataFrame):
@@ -173,13 +173,13 @@ def gram_counts(docs: DataFrame, seeds: DataFrame, sizes: Sequence[int]) -> Data
 
 
 def rare_seeds(docs: DataFrame, items: DataFrame, n: int, least_score: float, least_words: int) -> tuple[DataFrame, list[int]]:
-    """item_id, n_words, gram: of each item's n-grams that docs have, the rarest, ties included, so that fewer places of others are left than survive; and the lengths of n-grams."""
+    """item, n_words, gram: of each item's n-grams that docs have, the rarest, ties included, so that fewer places of others are left than survive; and the lengths of n-grams."""
     seeds = stored(item_grams(items, n, least_score, least_words), "item-grams")
     sizes = sorted(r[0] for r in seeds.select("size").distinct().collect())
     found = seeds.join(gram_counts(docs, seeds, sizes), "gram").filter("found > 0")
     # Places of n-grams as frequent or more so; a window is as long as an item.
-    others = F.sum("times").over(Window.partitionBy("item_id").orderBy(F.desc("found")))
-    return stored(found.withColumn("others", others).filter(F.col("others") >= F.col("left")).select("item_id", "n_words", "gram"), "seeds"), sizes
+    others = F.sum("times").over(Window.partitionBy("item").orderBy(F.desc("found")))
+    return stored(found.withColumn("others", others).filter(F.col("others") >= F.col("left")).select("item", "n_words", "gram"), "seeds"), sizes
 
 
 def passages(docs: DataFrame, seeds: DataFrame, sizes: Sequence[int], span: int) -> DataFrame:
@@ -219,40 +219,41 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = 3, least_score: float
     docs: doc_id, text; items: item_id, text. An item is found where its best local alignment reaches least_score of its
     words (1 for each word in place, -1 for each that differs, is missing or is added) and matches least_words words, or all of a shorter item.
     Of several places in a document the best counts (then the first). of tells rows of one doc_id with different texts apart: xxhash64 of both.
-    Null and empty texts hold nothing and empty items are in nothing; an item given twice under one id counts once.
+    Null and empty texts hold nothing and empty items are in nothing. Every text of an id, and every text without
+    an id, is an item of its own and has its own rows; a text given twice under one id counts once.
     """
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("of"))
-    items = items.select("item_id", "text").dropDuplicates(["item_id"])
+    items = stored(items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct().withColumn("item", F.xxhash64("item_id", "text")), "items")
     seeds, sizes = rare_seeds(docs, items, n, least_score, least_words)
     longest = seeds.agg(F.max("n_words")).first()[0] or 0
     # No alignment that scores enough is longer: it has n_words matches and (1 - least_score) * n_words errors at most.
     span = math.ceil((2 - least_score) * longest)
     held = stored(passages(docs, seeds, sizes or [n], span).withColumn("passage", F.md5("words")), "passages")
-    pairs = held.select("passage", F.explode("grams").alias("gram")).join(seeds, "gram").select("passage", "item_id").distinct()
+    pairs = held.select("passage", F.explode("grams").alias("gram")).join(seeds, "gram").select("passage", "item").distinct()
     held_once = held.groupBy("passage").agg(F.first("words").alias("words"))
-    pairs = pairs.join(held_once, "passage").join(items.select("item_id", F.col("text").cast("string").cast("binary").alias("text")), "item_id")
-    schema = pa.schema([("passage", pa.string()), ("item_id", pa.int64()), ("points", pa.int32()), ("n_matched", pa.int32()), ("n_item_words", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
+    pairs = pairs.join(held_once, "passage").join(items.select("item", "item_id", F.col("text").cast("binary").alias("text")), "item")
+    schema = pa.schema([("passage", pa.string()), ("item", pa.int64()), ("item_id", pa.int64()), ("points", pa.int32()), ("n_matched", pa.int32()), ("n_item_words", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
 
     def scored(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for frame in batches(frames):
             rows = []
-            for passage, item, w, text in zip(*(c.to_pylist() for c in frame.columns), strict=True):
+            for passage, item, name, w, text in zip(*(c.to_pylist() for c in frame.columns), strict=True):
                 own, there = words(text or b""), np.frombuffer(w, np.uint64)
                 size, left = surviving(len(own), n, least_score, least_words)
                 if np.isin(grams(there, size), grams(own, size)).sum() < left:
                     continue
                 points, matches, a, b = align(there, own)
-                rows.append((passage, item, points, matches, len(own), a, b))
+                rows.append((passage, item, name, points, matches, len(own), a, b))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [[]] * len(schema), schema, strict=True)], schema=schema)
 
-    ddl = "passage string, item_id long, points int, n_matched int, n_item_words int, a int, b int"
-    scores = pairs.select("passage", F.col("item_id").cast("long"), "words", "text").mapInArrow(scored, ddl)
+    ddl = "passage string, item long, item_id long, points int, n_matched int, n_item_words int, a int, b int"
+    scores = pairs.select("passage", "item", "item_id", "words", "text").mapInArrow(scored, ddl)
     size = F.col("n_item_words")
     scores = scores.filter((F.col("points") >= least_score * size) & (F.col("n_matched") >= F.least(F.lit(least_words), size)))
     found = held.select("doc_id", "of", "first", "passage").join(scores, "passage")
     best = F.max(F.struct((F.col("points") / size).alias("score"), (-(F.col("first") + F.col("a"))).alias("at"), "n_matched", "n_item_words", (F.col("first") + F.col("b")).alias("last"))).alias("m")
-    return found.groupBy("doc_id", "of", "item_id").agg(best).select("doc_id", "of", "item_id", "m.score", "m.n_matched", "m.n_item_words", (-F.col("m.at")).alias("first_word"), F.col("m.last").alias("last_word"))
+    return found.groupBy("doc_id", "of", "item", "item_id").agg(best).select("doc_id", "of", "item_id", "m.score", "m.n_matched", "m.n_item_words", (-F.col("m.at")).alias("first_word"), F.col("m.last").alias("last_word"))
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
