@@ -7,7 +7,8 @@ length are interchangeable, so each takes the place that its rank among its leng
 
 from __future__ import annotations
 
-from bisect import bisect_right
+import math
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from scanspark.llm.shared import batches, stored
 from scanspark.llm.token_counts import tokenizer
 
-#: Distinct words whose ids a worker keeps from task to task.
-CACHE = 1_000_000
+#: Distinct words whose ids a worker keeps from task to task, and the longest word it keeps.
+CACHE, LONGEST = 1_000_000, 200
 
 
 def plain(text: str) -> bool:
@@ -37,13 +38,15 @@ class WordIds(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tok = tokenizer(path)
+        self.special = [t.content.lower() for t in self.tok.get_added_tokens_decoder().values()]
 
     def __missing__(self, word: str) -> bytes:
         if word[-1:] in (".", ",") and word[:-1].isalpha() and plain(word):
             ids = self[word[:-1]] + self[word[-1]]  # a run of letters and what follows are encoded each by itself
         else:
             ids = np.array(self.tok.encode_batch_fast([word], add_special_tokens=False)[0].ids, "<u4").tobytes()
-        self[word] = ids
+        if len(word) <= LONGEST:
+            self[word] = ids
         return ids
 
     def of(self, text: str) -> bytes:
@@ -51,7 +54,9 @@ class WordIds(dict):
             self.clear()
         text = text.replace("\n", " ")
         if plain(text):
-            text = text.lower()  # as the tokenizer does first; fewer words to keep
+            low = text.lower()  # fewer words to keep; the tokenizer does so only after it has looked for special tokens
+            if not any(t in low for t in self.special):
+                text = low
         return b"".join(map(self.__getitem__, text.split(" ")))
 
 
@@ -60,7 +65,9 @@ def tokenize_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: in
 
     A document is the ids that the tokenizer file at path gives for its text (null: empty) without added special
     tokens, then end_id. Documents longer than capacity are cut into pieces of capacity ids, the last may be shorter.
-    The tokenizer must lower-case and drop white space (each word's ids then stand alone), as word-end BPE does: a worker encodes a word once and keeps its ids.
+    The tokenizer must lower-case and drop white space (each word's ids then stand alone), as word-end BPE does: a worker encodes a word
+    once and keeps its ids, but for words of over LONGEST characters. Special tokens written out in a text count as the library's
+    default has it, in their own case only. A null doc_id stays null; repeated rows give their pieces each; columns other than doc_id and text are not read.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
@@ -155,23 +162,39 @@ def _best_pair(left: _Lengths, x: int, room: int) -> int:
 
 
 def best_fit(left: _Lengths, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Best fit in decreasing order, many equal pieces at once: the longest piece opens a sequence and the longest that fits
-    follows until none does; the pattern is repeated as often as the pieces left allow."""
-    made = []
-    while left.order:
-        used: dict[int, int] = {}
-        room, i = capacity, len(left.order) - 1
-        while i >= 0:
-            x = left.order[i]
-            if k := min(room // x, left.n[x]):
-                used[x] = k
-                room -= k * x
-            i = min(i, bisect_right(left.order, room)) - 1
-        times = min(left.n[x] // k for x, k in used.items())
-        made.append((tuple(x for x, k in used.items() for _ in range(k)), times))
-        for x, k in used.items():
-            left.take(x, k * times)
-    return made
+    """Best fit in decreasing order: each piece goes where the least room is left that holds it, else it opens a sequence.
+
+    Equal pieces and equal sequences are dealt with at once. A sequence that takes a piece has the least room of all afterwards, so
+    it takes equal pieces until the next no longer fits; then the next sequence of its kind does the same. Of sequences with equal room the
+    one whose pattern came first takes the piece.
+    """
+    rooms: list[int] = []  # ascending
+    kinds: dict[int, list[list]] = {}  # by room: [pattern as (length, how many) pairs, number of sequences]
+
+    def put(pattern: tuple[tuple[int, int], ...], n: int, room: int) -> None:
+        if room not in kinds:
+            insort(rooms, room)
+            kinds[room] = []
+        kinds[room].append([pattern, n])
+
+    for x in reversed(list(left.order)):
+        n = left.n[x]
+        left.take(x, n)
+        while n:
+            i = bisect_left(rooms, x)
+            room = rooms[i] if i < len(rooms) else capacity
+            pattern, there = kinds[room][0] if i < len(rooms) else ((), n)
+            k = min(room // x, n)
+            times = min(there, n // k)
+            if i < len(rooms):
+                kinds[room][0][1] -= times
+                if not kinds[room][0][1]:
+                    del kinds[room][0]
+                    if not kinds[room]:
+                        del kinds[room], rooms[i]
+            put((*pattern, (x, k)), times, room - k * x)
+            n -= k * times
+    return [(tuple(x for x, k in pattern for _ in range(k)), n) for room in rooms for pattern, n in kinds[room]]
 
 
 def plan(counts: dict[int, int], capacity: int = 4096) -> list[tuple[tuple[int, ...], int]]:
@@ -198,12 +221,12 @@ def _places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, list[dict]
     return found
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, per_bucket: int = 20_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, per_bucket: int | None = None) -> DataFrame:
     """pieces (length and any other columns) with sequence_id and offset.
 
     Pieces in one sequence lie side by side from offset 0 on, capacity at most. Rows are ranked within their length
     in two steps (buckets of about per_bucket rows, then rows within a bucket and length), so a very common
-    length is no single group. Repeated rows are packed each. Columns of pieces named sequence_id or offset are replaced.
+    length is no single group; by default there are as many buckets as rows in one. Repeated rows are packed each. Columns of pieces named sequence_id or offset are replaced.
     The table of places has a row for each length, capacity at most, and is held by every task.
     """
     spark = pieces.sparkSession
@@ -213,7 +236,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, per_bucket: int = 20_000) -> D
     run = "struct<first long, k long, times long, sequence long, base long>"
     places = spark.createDataFrame(list(_places(plan(counts, capacity)).items()), f"length long, __runs array<{run}>")
 
-    buckets = max(1, sum(counts.values()) // per_bucket)
+    total = sum(counts.values())
+    buckets = max(1, total // per_bucket if per_bucket else math.isqrt(total))
     held = held.withColumn("__bucket", F.pmod(F.xxhash64("__at"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = held.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("n"))
