@@ -52,8 +52,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", class_lm.held_out().alias("held_out"))
-    model = class_lm.fit(docs.filter(~F.col("held_out")))
-    return class_lm.score(docs, model, "held_out")
+    words = class_lm.vocabulary(docs.filter(~F.col("held_out")))
+    # Texts are tokenized once, for the model and for the scores.
+    encoded = class_lm.encode(docs, words, "doc_id", "held_out")
+    model = class_lm.fit_encoded(encoded.filter("NOT kept.held_out"), words)
+    return class_lm.score_encoded(encoded, model)
 
 
 def op9_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:

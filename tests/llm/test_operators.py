@@ -354,7 +354,7 @@ def test_exchange_raises_the_likelihood_and_separates_word_classes():
 def test_scores(spark):
     rows = [(i, prose(60, i % 50)) for i in range(200)] + [(300, None), (301, ""), (302, LONG), (303, "Unseen words here"), (303, "Unseen words here"), (None, "kaba")]
     docs = frame(spark, rows, DOCS).withColumn("held_out", class_lm.held_out())
-    model = class_lm.fit(docs.filter("NOT held_out"), classes=4, clustered=30, most_frequent=50)
+    model = class_lm.fit(docs.filter("NOT held_out"), classes=4, core=30, most_frequent=50)
     got = class_lm.score(docs, model, "held_out").collect()
     assert len(got) == len(rows)
     train = [t or "" for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
@@ -368,19 +368,63 @@ def test_scores(spark):
         assert r.base_score == pytest.approx(base) and r.score < 0
 
 
-def test_probabilities_of_a_class_sum_to_one(spark):
-    model = class_lm.fit(frame(spark, [(i, prose(80, i)) for i in range(40)]), classes=4, clustered=20, most_frequent=50)
+@pytest.mark.parametrize(("core", "most"), [(20, 50), (10, 30), (0, 0)])
+def test_class_scores_equal_their_twin(spark, core, most):
+    rnd = random.Random(3)
+    extra = [f"rare{k}" for k in range(60)]
+    rows = [(i, prose(80, i) + " " + " ".join(rnd.choices(extra, k=5)) + f" once{i} other once{i}b") for i in range(40)]
+    model = class_lm.fit(frame(spark, rows), classes=4, core=core, most_frequent=most)
+    counts = collections.Counter(w for _, t in rows for w in t.encode().split())
+    others = {r.hash % 2**64: (r.n, r.cls) for r in model.others.collect()}
+    place = {}
+    for w, n in counts.items():
+        if w in model.vocabulary.number:
+            place[w] = int(model.cls[model.vocabulary.number[w]])
+        else:
+            said, place[w] = others[xxhash.xxh64_intdigest(w)]
+            assert said == n and (place[w] == model.rare) == (n == 1)
+    assert len(others) == len(counts) - len(model.vocabulary.number)
+    pairs = np.zeros((6, 6), np.int64)
+    for _, t in rows:
+        c = [model.end, *(place[w] for w in t.encode().split()), model.end]
+        np.add.at(pairs, (c[:-1], c[1:]), 1)
+    assert (pairs == model.pairs).all()
     assert np.allclose((10**model.transition).sum(1), 1)
-    known = len(model.number)
-    mass = np.bincount(model.cls[:known], 10 ** model.emission[:known], len(model.transition))
-    assert np.allclose(mass[np.unique(model.cls[:known])], 1)
+    singles = sum(n == 1 for n in counts.values())
+    size = collections.Counter()
+    for w, n in counts.items():
+        size[place[w]] += n
+    size[model.rare] += singles
+
+    def twin(text):
+        words, c, out = text.lower().encode().split(), [model.end], 0.0
+        for w in words:
+            c.append(place.get(w, model.rare))
+            out += math.log10(counts.get(w, singles) / size[c[-1]])
+        c.append(model.end)
+        return out + sum(model.transition[a, b] for a, b in zip(c, c[1:], strict=False))
+
+    asked = [*rows[:5], (100, "unseen UNSEEN2 kaba once3 once4 unseen3"), (101, ""), (102, "rare1 rare2 kaba rare3 gone rare4")]
+    got = {r.doc_id: r.score for r in class_lm.score(frame(spark, asked), model).collect()}
+    assert got == {i: pytest.approx(twin(t)) for i, t in asked}
+
+
+def test_sweeps_put_rarer_words_beside_their_like(spark):
+    rnd = random.Random(8)
+    left, right = [f"l{i}" for i in range(40)], [f"r{i}" for i in range(40)]
+    weight = [1 / (i + 1) for i in range(40)]
+    rows = [(i, " ".join(w for _ in range(30) for w in (rnd.choices(left, weight)[0], rnd.choices(right, weight)[0]))) for i in range(60)]
+    model = class_lm.fit(frame(spark, rows), classes=2, core=20, most_frequent=50)
+    of = {r.hash % 2**64: r.cls for r in model.others.filter("n > 1").collect()}
+    place = lambda w: int(model.cls[model.vocabulary.number[w]]) if w in model.vocabulary.number else of.get(xxhash.xxh64_intdigest(w))
+    assert {place(w.encode()) for w in left} == {place(b"l0")} != {place(w.encode()) for w in right} == {place(b"r0")}
 
 
 def test_model_of_nothing(spark):
     model = class_lm.fit(frame(spark, []))
     assert class_lm.score(frame(spark, []), model).count() == 0
-    row = class_lm.score(frame(spark, [(1, "a b")]), model).first()
-    assert (row.n_tokens, row.train_tokens) == (3, 0)
+    row = class_lm.score(frame(spark, [(1, "a b", "x")], DOCS + ", score string"), model, "score").first()
+    assert (row.n_tokens, row.n_known, row.train_tokens) == (3, 0, 0) and row.score < 0
 
 
 # 9: url verdicts
