@@ -4,7 +4,7 @@ Words are lower-cased and lose punctuation at their ends. Every test item's n-gr
 that occur there, an item's seeds are its rarest, so many that every alignment that scores enough holds one (see surviving).
 Documents that hold a seed give up the passages around their seeds, the passages are joined to the items by seed, and each pair
 that has enough n-grams in common is aligned word by word.
-Tasks hold a bit filter of fixed size of the seeds' hashes, so only hits leave them; the join on hashes then is exact.
+Tasks hold a bit filter of the seeds' hashes, so only hits leave them; the join on hashes then is exact.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanspark.llm.bit_filter import bit_filter, passing
 from scanspark.llm.shared import batches, stored
 
 ENDS = ".,;:!?\"'()[]{}*#$%&|<>-_/\\"
-FILTER_BITS = 24
 CACHE = 400_000
 FLUSH = 200_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -64,39 +64,31 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def align(passage: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int]:
-    """Smith-Waterman over words, 1 for a match, -1 for a mismatch or a gap: score, matches, first and last word in the passage."""
+    """Smith-Waterman over words, 1 for a match, -1 for a mismatch or a gap: score, matches, first and last word in the passage.
+
+    Of equal alignments that which ends first in the item, then in the passage, counts. Only one row of the matrix is held, with
+    where each cell's alignment begins and its matches, so memory follows the passage.
+    """
     n = len(passage)
-    h = np.zeros((len(item) + 1, n + 1), np.int32)
-    steps = np.arange(n + 1, dtype=np.int32)
-    for i, w in enumerate(item, 1):
-        row = h[i]
-        row[1:] = np.maximum(h[i - 1, :-1] + np.where(passage == w, 1, -1), h[i - 1, 1:] - 1)
-        np.maximum(row, 0, out=row)
-        row[:] = np.maximum.accumulate(row + steps) - steps
-    i, j = np.unravel_index(int(h.argmax()), h.shape)
-    score, last, matches, first = int(h[i, j]), int(j) - 1, 0, int(j) - 1
-    while i and j and h[i, j]:
-        same = passage[j - 1] == item[i - 1]
-        if h[i, j] == h[i - 1, j - 1] + (1 if same else -1):
-            matches += bool(same)
-            i, j = i - 1, j - 1
-            first = int(j)
-        elif h[i, j] == h[i - 1, j] - 1:
-            i -= 1
-        else:
-            j -= 1
-    return score, matches, first, last
-
-
-def _bits(hashes: np.ndarray) -> np.ndarray:
-    out = np.zeros(1 << FILTER_BITS, bool)
-    out[hashes >> np.uint64(64 - FILTER_BITS)] = True
-    return np.packbits(out)
-
-
-def _passing(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    at = hashes >> np.uint64(64 - FILTER_BITS)
-    return (bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
+    steps = np.arange(n + 1)
+    score, begin, matches = (np.zeros(n + 1, np.int64) for _ in range(3))
+    best = (0, 0, -1, -1)
+    for w in item:
+        same = passage == w
+        diagonal, up = score[:-1] + np.where(same, 1, -1), score[1:] - 1
+        aslant = diagonal >= up
+        new = np.zeros((3, n + 1), np.int64)
+        new[0, 1:] = np.maximum(np.maximum(diagonal, up), 0)
+        new[1, 1:] = np.where(aslant, np.where(score[:-1] > 0, begin[:-1], steps[:-1]), begin[1:])
+        new[2, 1:] = np.where(aslant, np.where(score[:-1] > 0, matches[:-1], 0) + same, matches[1:])
+        reach = new[0] + steps
+        most = np.maximum.accumulate(reach)
+        source = np.maximum.accumulate(np.where(reach == most, steps, 0))  # itself, or the cell on the left that a gap comes from
+        score, begin, matches = most - steps, new[1][source], new[2][source]
+        j = int(score.argmax())
+        if score[j] > best[0]:
+            best = (int(score[j]), int(matches[j]), int(begin[j]), int(source[j]) - 1)
+    return best
 
 
 def surviving(n_words: int, n: int, least_score: float, least_words: int) -> tuple[int, int]:
@@ -132,24 +124,9 @@ def item_grams(items: DataFrame, n: int, least_score: float, least_words: int) -
     return items.select("item", F.col("text").cast("string").cast("binary")).mapInArrow(cut, ddl)
 
 
-def _filter_of(spark, hashes: DataFrame):
-    """A broadcast bit filter of the column gram; parts are joined in the tasks, so the driver gets some filters of fixed size."""
-
-    def part(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-        for frame in frames:
-            bits |= _bits(frame.column(0).to_numpy().view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
-
-    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for row in hashes.select("gram").coalesce(8).mapInArrow(part, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(row[0], np.uint8)
-    return spark.sparkContext.broadcast(bits)
-
-
 def gram_counts(docs: DataFrame, seeds: DataFrame, sizes: Sequence[int]) -> DataFrame:
     """gram, found: how often the whole corpus has each n-gram (of the given lengths) in seeds (those it has at all; a few others may be among them)."""
-    held = _filter_of(docs.sparkSession, seeds)
+    held = bit_filter(seeds, "gram")
 
     def counted(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = Words(), Counter()
@@ -164,7 +141,7 @@ def gram_counts(docs: DataFrame, seeds: DataFrame, sizes: Sequence[int]) -> Data
                 w = words(text or b"")
                 for size in sizes if len(w) else ():
                     g = grams(w, size)
-                    counts.update(g[_passing(g, held.value)].view(np.int64).tolist())
+                    counts.update(g[passing(g, held.value)].view(np.int64).tolist())
                 if len(counts) > FLUSH:
                     yield out()
         yield out()
@@ -187,7 +164,7 @@ def passages(docs: DataFrame, seeds: DataFrame, sizes: Sequence[int], span: int)
 
     Stretches that overlap are one; first is the number of the stretch's first word in its document. of is a column of docs.
     """
-    held = _filter_of(docs.sparkSession, seeds)
+    held = bit_filter(seeds, "gram")
     schema = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("first", pa.int64()), ("words", pa.binary()), ("grams", pa.list_(pa.int64()))])
 
     def found(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +176,7 @@ def passages(docs: DataFrame, seeds: DataFrame, sizes: Sequence[int], span: int)
                 if not len(w):
                     continue
                 g = [grams(w, size) for size in sizes]
-                at = [np.flatnonzero(_passing(x, held.value)) for x in g]
+                at = [np.flatnonzero(passing(x, held.value)) for x in g]
                 g, at = np.concatenate([x[k] for x, k in zip(g, at, strict=True)]), np.concatenate(at)
                 order = np.argsort(at, kind="stable")
                 g, at = g[order], at[order]
@@ -220,7 +197,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = 3, least_score: float
     words (1 for each word in place, -1 for each that differs, is missing or is added) and matches least_words words, or all of a shorter item.
     Of several places in a document the best counts (then the first). of tells rows of one doc_id with different texts apart: xxhash64 of both.
     Null and empty texts hold nothing and empty items are in nothing. Every text of an id, and every text without
-    an id, is an item of its own and has its own rows; a text given twice under one id counts once.
+    an id, is an item of its own and has its own rows; a text given twice under one id counts once. Long texts and
+    items are taken whole; an alignment holds a few rows as long as the passage. Of equally rare n-grams all are seeds. Other columns are not read.
     """
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("of"))
     items = stored(items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct().withColumn("item", F.xxhash64("item_id", "text")), "items")

@@ -106,20 +106,3 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, size: int = 3, seed: int
     prints = prints.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = prints.groupBy("root").agg(F.min("first").alias("component_id"))
     return docs.join(prints.join(least, "root").select("fp", "component_id"), "fp").select(*docs.columns, "component_id")
-
-
-def keep_one(docs: DataFrame, max_bits: int = 2, size: int = 3, seed: int = 42) -> DataFrame:
-    """One document of each near-duplicate component of docs: that of the smallest doc_id (of repeated rows of it, one).
-
-    Groups are found on ids and hashes of rows; the texts are shuffled once, to meet the list of those that stay.
-    """
-    of = F.xxhash64("doc_id", "text")
-    near = near_duplicates(docs.select("doc_id", "text", of.alias("of")), max_bits, size, seed, with_text=False)
-    first = near.groupBy("component_id").agg(F.min(F.struct("doc_id", "of")).alias("m")).select("m.doc_id", "m.of")
-    rows = near.groupBy("doc_id", "of").agg(F.count(F.lit(1)).alias("n"))
-    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.of") == F.col(f"{b}.of"))
-    stay = rows.alias("a").join(first.alias("b"), same("a", "b"), "left_semi").select(F.col("doc_id").alias("__doc_id"), F.col("of").alias("__of"), F.col("n").alias("__n"))
-    stay = stored(stay, "stay")
-    kept = docs.withColumn("__row", of).join(stay.hint("shuffle_hash"), (F.col("__row") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")))
-    once = kept.filter("__n = 1").select(*docs.columns)
-    return once.unionByName(kept.filter("__n > 1").dropDuplicates(["__row", "__doc_id"]).select(*docs.columns))

@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 from test_operators import WORDS, dedup_twin, frame, prose
 
-from scanspark.llm import line_dedup, packing
+from scanspark.llm import decontaminate, line_dedup, near_copies, packing
 from scanspark.llm.token_counts import tokenizer
 
 
@@ -54,3 +54,48 @@ def test_line_runs_leave_no_table_and_hot_lines_go_the_same_way(spark, monkeypat
         got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(frame(spark, rows), batch_lines=1000, least_batches=batches).collect()}
         assert got == dedup_twin(rows)
     assert not [t.name for t in spark.catalog.listTables() if re.match("line_run_", t.name)]
+
+
+def test_alignment_of_a_very_long_item():
+    rnd = np.random.default_rng(2)
+    item = rnd.integers(0, 5000, 20_000).astype(np.uint64)
+    passage = np.concatenate([rnd.integers(5000, 9000, 300).astype(np.uint64), item[:300], item[310:700]])
+    assert decontaminate.align(passage, item) == (680, 690, 300, 989)
+
+
+def jaccard(a, b, size=5):
+    sets = []
+    for t in (a, b):
+        w = t.lower().split()
+        sets.append({" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def edited(text, share, seed):
+    rnd = random.Random(seed)
+    return " ".join(w if rnd.random() > share else f"new{rnd.randrange(10**6)}" for w in text.split())
+
+
+def test_near_copies_are_found_and_only_they(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "CROWD", 3)
+    monkeypatch.setattr(near_copies, "MOST_PAIRS", 4)
+    base = {g: prose(250, 600 + g) for g in range(30)}
+    rows = [(i, t) for i, t in base.items()]
+    rows += [(1000 + 100 * g + k, edited(base[g], 0.01, 100 * g + k)) for g in range(20) for k in range(12)]  # near copies
+    rows += [(9000 + g, edited(base[g], 0.12, 7000 + g)) for g in range(30)]  # too far from all
+    rows += [(20_000 + g, base[g].upper()) for g in range(5)] + [(30_000, "a b c"), (30_001, "A b  c"), (30_002, "a b d"), (30_003, None), (30_004, "")]
+    text = dict(rows)
+    got = {r.doc_id for r in near_copies.keep_one(frame(spark, rows)).collect()}
+    clean = set(range(9000, 9030)) | {30_000, 30_002, 30_003} | set(range(30))
+    assert clean <= got and not got & ({*range(20_000, 20_005), 30_001, 30_004})
+    near = [d for d in text if 1000 <= d < 9000 and jaccard(text[d], base[(d - 1000) // 100]) >= 0.8]
+    assert len(near) > 200 and sum(d not in got for d in near) >= 0.9 * len(near)
+    keyed = frame(spark, [(i, t or "") for i, t in rows], "key long, text string")
+    of = {r.node: r.root for r in near_copies.near_links(keyed).collect()}
+    assert all(jaccard(text[d] or "", text[r] or "") > 0.5 for d, r in of.items())
+
+
+def test_plan_of_segments_follows_the_number_of_texts():
+    assert near_copies.plan(100_000, 0.8, 5, 0.85) == (6, 21, 18)
+    segments, width, _ = near_copies.plan(10**9, 0.8, 5, 0.85)
+    assert width == 33 and segments > 15

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from scanspark.llm import class_lm, decontaminate, licenses, line_dedup, packing, pii, quality_rules, simhash, token_counts, url_reputation
+from scanspark.llm import class_lm, decontaminate, licenses, line_dedup, near_copies, packing, pii, quality_rules, simhash, token_counts, url_reputation
 from scanspark.operators.graph import components
 
 DOCS = "doc_id long, text string"
@@ -175,8 +175,9 @@ def test_near_duplicates_and_one_kept(spark):
     docs = frame(spark, rows, DOCS + ", component_id int")
     got = sorted((r.doc_id or -1, r.component_id) for r in simhash.near_duplicates(docs).collect())
     assert got == [(-1, 4), (1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (7, 1), (7, 1), (9, 9)]
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and kept.count() == 4
+    kept = near_copies.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 3, 9]
+    assert near_copies.keep_one(docs.limit(0)).count() == 0
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
