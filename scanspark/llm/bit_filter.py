@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: A filter has 2 ** FEWEST to 2 ** MOST bits (128 MB); beyond that it lets more through, and results stay the same.
-FEWEST, MOST = 20, 30
+FEWEST, MOST = 24, 30
 
 
 def bits_for(n: int) -> int:
-    """The power of two that gives n hashes 32 bits or more each, within FEWEST and MOST."""
-    return min(MOST, max(FEWEST, max(1, n).bit_length() + 5))
+    """The power of two that gives n hashes 1024 bits or more each, within FEWEST and MOST."""
+    return min(MOST, max(FEWEST, max(1, n).bit_length() + 10))
 
 
 def passing(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
