@@ -21,7 +21,7 @@ from scanspark.llm.shared import batches
 
 ENDS = ".,;:!?\"'()[]{}<>*#|-_/\\"
 
-#: Notices and license texts, as published.
+#: One-line notices in common use, license texts and the notices that licenses ask to be put into files (the words, without years and names).
 TEMPLATES = {
     "MIT notice": "Released under the MIT License.",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
@@ -53,6 +53,54 @@ TEMPLATES = {
         "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
         "PURPOSE. See the GNU General Public License for more details."
     ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY '
+        "AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY '
+        "AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "LGPL-2.1-or-later": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, "
+        "or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        "See the GNU Lesser General Public License for more details."
+    ),
+    "GPL-2.0-or-later": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, "
+        "or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        "See the GNU General Public License for more details."
+    ),
+    "AGPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, "
+        "or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        "See the GNU Affero General Public License for more details."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
+        "for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "3. This notice may not be removed or altered from any source distribution."
+    ),
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
 
 
@@ -129,10 +177,21 @@ def scan(text: list[str], template: list[str], least: float, density: float) ->
     return best
 
 
+def best_places(places: list[tuple]) -> list[tuple]:
+    """Of (license, n_matched, n_words, first, last) those that don't lie, by half or more of the shorter, in a place of more words (of equals, of a higher share of its template)."""
+    kept: list[tuple] = []
+    for one in sorted(places, key=lambda p: (-p[1], p[2], p[0])):
+        over = [min(one[4], k[4]) - max(one[3], k[3]) + 1 for k in kept]
+        if all(2 * o < min(one[4] - one[3], k[4] - k[3]) + 1 for o, k in zip(over, kept, strict=True)):
+            kept.append(one)
+    return sorted(kept)
+
+
 def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.75, density: float = 0.5) -> DataFrame:
     """doc_id, license, coverage, n_matched, first_word, last_word: one row for each row of docs (doc_id, text) and template it holds.
 
-    Of several places in a text that with the most words in place counts (then the first). A place's words are at least `density` of
+    Of several places of a template in a text that with the most words in place counts (then the first); where places of templates lie over one
+    another, as with versions of one license, that with the most words in place counts (then the shorter template, then the first name). Texts are scanned whole. A place's words are at least `density` of
     the stretch that they span. Null, empty and other texts without a license give no row; repeated rows give theirs each. Templates without words
     are never found. The templates are a parameter that every task holds; texts stay where they are read.
     """
@@ -145,13 +204,14 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
             rows = []
             for doc, text in zip(*(c.to_pylist() for c in frame.columns), strict=True):
                 words = words_of(text or "")
-                held = set(words)
+                held, places = set(words), []
                 for name, (template, vocabulary) in wanted.items():
                     # Words in place are at most all words of the template less one for each word of its vocabulary that the text lacks.
                     if len(template) - len(vocabulary - held) < least * len(template):
                         continue
                     if place := scan(words, template, least, density):
-                        rows.append((doc, name, place[0] / len(template), *place))
+                        places.append((name, place[0], len(template), *place[1:]))
+                rows += [(doc, name, n / size, n, a, b) for name, n, size, a, b in best_places(places)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [[]] * len(schema), schema, strict=True)], schema=schema)
 
     ddl = "doc_id long, license string, coverage double, n_matched long, first_word long, last_word long"

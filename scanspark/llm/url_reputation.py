@@ -2,8 +2,8 @@ r"""URL verdicts: fixed rules first, then the empirical-Bayes reputation of the
 
 Labelled pages give each host, registered domain and suffix (bad, all) counts. Suffixes are shrunk towards the rate of
 all pages, domains towards their suffix, hosts towards their domain, each by a beta prior whose weight is fitted from
-the spread of the rates of the units under one parent. A url is blocked if the upper bound of the posterior
-of the bad rate (mean plus z standard deviations) of its host lies over the limit; a host without labels has its parent's posterior.
+the spread of the rates of the units under one parent. A url is blocked if the lower bound of the posterior
+of the bad rate (mean less z standard deviations) of its host lies over the limit; a host without labels has its parent's posterior.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
+#: A host is hot where so many like it would have all pages.
+HOT = 10_000
+
 
 def url_host(url: Column) -> Column:
     """The part after the first :// up to /, ?, # or the end, A-Z lower-cased; empty for null or without ://."""
@@ -34,18 +37,39 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
-def host_suffix(host: Column) -> Column:
-    """The last label of a host."""
-    return F.regexp_extract(host, r"([^.]*)$", 1)
+#: Public suffixes of two labels; all others are the last label. A parameter of the functions below.
+SUFFIXES = (
+    "ac.jp", "ac.nz", "ac.uk", "ac.za", "co.id", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.eg", "com.es",
+    "com.hk", "com.mx", "com.my", "com.ng", "com.pe", "com.ph", "com.pk", "com.pl", "com.pt", "com.sa", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "edu.tw", "go.jp",
+    "gov.au", "gov.br", "gov.cn", "gov.in", "gov.uk", "ne.jp", "net.au", "net.br", "net.cn", "net.nz", "net.uk", "nhs.uk", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.nz", "org.uk", "org.za",
+)
+
+
+def host_name(host: Column) -> Column:
+    """A host without user, port and the dot at the end."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r"\.?(:[0-9]*)?$", "")
+
+
+def is_address(name: Column) -> Column:
+    return name.rlike(r"^(\[.*\]|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$")
+
+
+def host_suffix(host: Column, suffixes: tuple = SUFFIXES) -> Column:
+    """The public suffix of a host: its last label, or its last two where they are in suffixes; an address is its own."""
+    name = host_name(host)
+    two = F.regexp_extract(name, r"([^.]*\.)?[^.]*$", 0)
+    return F.when(is_address(name), name).when(two.isin(*suffixes), two).otherwise(F.regexp_extract(name, r"([^.]*)$", 1))
 
 
-def host_domain(host: Column) -> Column:
-    """The last two labels of a host."""
-    return F.regexp_extract(host, r"([^.]*\.)?[^.]*$", 0)
+def host_domain(host: Column, suffixes: tuple = SUFFIXES) -> Column:
+    """The registered domain of a host: the suffix and one label more, if there is one; an address is its own."""
+    name = host_name(host)
+    two = F.regexp_extract(name, r"([^.]*\.)?[^.]*$", 0)
+    return F.when(is_address(name), name).when(two.isin(*suffixes), F.regexp_extract(name, r"([^.]*\.){0,2}[^.]*$", 0)).otherwise(two)
 
 
 def rule_columns(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest rule whose host is the url's or a parent of it and whose path starts the url's; else nulls."""
+    """(rule, verdict) of the longest rule whose host is the url's or a parent of it and whose path starts the url's (of equally long ones the last given); else nulls."""
     rule = verdict = F.lit(None).cast("string")
     for said, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
@@ -96,24 +120,35 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, z: flo
 
     A page is labelled through the number that follows in its path: the doc_id of labels (quality, toxic); it is bad if its quality
     is 0 or it is toxic. Of several labels for one doc_id the worst counts; rows with a null doc_id never join. bad_low is the posterior mean of
-    the host's bad rate less z standard deviations; where no rule fits, the url is blocked if it is over limit (None: the
+    the host's bad rate less z standard deviations. Repeated rows each get their row; other columns of pages are not read. Hosts of a ten-thousandth of
+    all pages or more, HOT at most, are known to every task, so no host's pages meet in one. Where no rule fits, the url is blocked if it is over limit (None: the
     bad rate of all labelled pages), allowed otherwise, and so is a null or malformed url (host empty) by the posterior of the empty host.
     """
     host, path = url_host(F.col("url").cast("string")), url_path(F.col("url").cast("string"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
     number = F.expr("try_cast(regexp_extract(path, '/([0-9]{1,18})', 1) AS bigint)")
     told = labels.groupBy("doc_id").agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
-    seen = urls.select("host", number.alias("doc_id")).join(told, "doc_id", "left").groupBy("host", "bad").agg(F.count(F.lit(1)).alias("pages"))
-    hosts, _, _, rate = host_reputation(stored(seen, "host-counts"))
+    # Pages of one host and number are counted first; those without a number meet no label.
+    counted = urls.select("host", number.alias("doc_id")).groupBy("host", "doc_id").agg(F.count(F.lit(1)).alias("pages"))
+    counted = stored(counted, "host-pages")
+    none = counted.filter("doc_id IS NULL").select("host", F.lit(None).cast("int").alias("bad"), "pages")
+    seen = counted.filter("doc_id IS NOT NULL").join(told, "doc_id", "left").select("host", "bad", "pages").unionByName(none)
+    seen = stored(seen.groupBy("host", "bad").agg(F.sum("pages").alias("pages")), "host-counts")
+    hosts, _, _, rate = host_reputation(seen)
     a, b = F.col("alpha"), F.col("beta")
     low = a / (a + b) - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    out = urls.join(hosts.select("host", low.alias("bad_low")), "host", "left")
+    total = counted.agg(F.sum("pages")).first()[0] or 0
+    often = seen.groupBy("host").agg(F.sum("pages").alias("pages")).filter(F.col("pages") * HOT >= total).select("host")
+    bounds = stored(hosts.select("host", low.alias("bad_low")), "host-bounds")
+    known = F.broadcast(bounds.join(often, "host", "left_semi"))
+    rest = urls.join(known.select("host"), "host", "left_anti").join(bounds.join(often, "host", "left_anti"), "host", "left")
+    out = urls.join(known, "host").unionByName(rest)
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_low") > (rate if limit is None else limit), "block").otherwise("allow")
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "bad_low")
 
 
-OP9_SQL = r"""
+OP9_SQL = rf"""
 WITH u AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (
@@ -121,10 +156,19 @@ p AS (
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 told AS (
   SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+t AS (
+  SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), '\.?(:[0-9]*)?$', '') AS name,
+         TRY_CAST(regexp_extract(path, '/([0-9]{{1,18}})', 1) AS BIGINT) AS number
+  FROM p),
+q AS (
+  SELECT host, number, name, regexp_matches(name, '^(\[.*\]|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$') AS address,
+         regexp_extract(name, '([^.]*\.)?[^.]*$', 0) AS two
+  FROM t),
 h AS (
-  SELECT host, regexp_extract(host, '([^.]*\.)?[^.]*$', 0) AS domain, regexp_extract(host, '([^.]*)$', 1) AS suffix,
+  SELECT host, any_value(CASE WHEN address THEN name WHEN two IN {SUFFIXES} THEN regexp_extract(name, '([^.]*\.){{0,2}}[^.]*$', 0) ELSE two END) AS domain,
+         any_value(CASE WHEN address THEN name WHEN two IN {SUFFIXES} THEN two ELSE regexp_extract(name, '([^.]*)$', 1) END) AS suffix,
          CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad
-  FROM p LEFT JOIN told ON doc_id = TRY_CAST(regexp_extract(path, '/([0-9]{1,18})', 1) AS BIGINT) GROUP BY host),
+  FROM q LEFT JOIN told ON told.doc_id = number GROUP BY host),
 r AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) AS rate FROM h),
 s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT rate FROM r) AS mu FROM h GROUP BY suffix),
 sm AS (

@@ -6,9 +6,10 @@ import re
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from test_operators import WORDS, dedup_twin, frame, prose
 
-from scanspark.llm import decontaminate, line_dedup, near_copies, packing
+from scanspark.llm import decontaminate, licenses, line_dedup, near_copies, packing, url_reputation
 from scanspark.llm.token_counts import tokenizer
 
 
@@ -99,3 +100,40 @@ def test_plan_of_segments_follows_the_number_of_texts():
     assert near_copies.plan(100_000, 0.8, 5, 0.85) == (6, 21, 18)
     segments, width, _ = near_copies.plan(10**9, 0.8, 5, 0.85)
     assert width == 33 and segments > 15
+
+
+def test_registered_domains_and_hot_hosts(spark, monkeypatch):
+    hosts = {"bbc.co.uk": ("bbc.co.uk", "co.uk"), "www.bbc.co.uk": ("bbc.co.uk", "co.uk"), "u@h.example.net:8080": ("example.net", "net"), "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "[::1]:80": ("[::1]", "[::1]"), "a.b.com.": ("b.com", "com"), "localhost": ("localhost", "localhost"), "": ("", ""), "co.uk": ("co.uk", "co.uk")}
+    frame_ = frame(spark, [(h,) for h in hosts], "host string")
+    got = {r.host: (r.d, r.s) for r in frame_.select("host", url_reputation.host_domain(F.col("host")).alias("d"), url_reputation.host_suffix(F.col("host")).alias("s")).collect()}
+    assert got == hosts
+    urls = frame(spark, [(i, f"http://h{i % 7}.site.net/p/{i}" if i % 5 else None) for i in range(200)] + [(0, "http://h0.site.net/p/0")], "page_id long, url string")
+    labels = frame(spark, [(i, int(i % 7 != 0), 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    seen = []
+    for hot in (0, 5, 10_000):
+        monkeypatch.setattr(url_reputation, "HOT", hot)
+        seen.append(sorted((r.page_id, r.host, r.verdict, round(r.bad_low, 9)) for r in url_reputation.judge_urls(urls, labels).collect()))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 201
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(new[-1], row[j + 1]))
+        row = new
+    return row[-1]
+
+
+def test_every_license_is_found_as_itself_and_coverage_is_bounded_by_the_longest_common_subsequence(spark):
+    rows = [(i, f"{prose(60, i)} {t} {prose(60, 900 + i)}") for i, t in enumerate(licenses.TEMPLATES.values())]
+    got = {(r.doc_id, r.license): r.coverage for r in licenses.find_licenses(frame(spark, rows)).collect()}
+    assert got == {(i, n): 1.0 for i, n in enumerate(licenses.TEMPLATES)}
+    rnd = random.Random(4)
+    for name in ("BSD-3-Clause", "GPL-2.0-or-later", "Zlib"):
+        whole = licenses.words_of(licenses.TEMPLATES[name])
+        for share in (0.02, 0.1, 0.3):
+            text = [w if rnd.random() > share else rnd.choice(("the", "of", "other", "words")) for w in whole]
+            n = len(licenses.patience(text, whole))
+            assert 0.9 * longest_common(text, whole) <= n <= longest_common(text, whole)
