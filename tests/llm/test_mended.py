@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from test_operators import WORDS, dedup_twin, frame, prose
 
-from scanspark.llm import decontaminate, licenses, line_dedup, near_copies, packing, url_reputation
+from scanspark.llm import decontaminate, licenses, line_dedup, near_copies, packing, pii, url_reputation
 from scanspark.llm.token_counts import tokenizer
 
 
@@ -137,3 +137,32 @@ def test_every_license_is_found_as_itself_and_coverage_is_bounded_by_the_longest
             text = [w if rnd.random() > share else rnd.choice(("the", "of", "other", "words")) for w in whole]
             n = len(licenses.patience(text, whole))
             assert 0.9 * longest_common(text, whole) <= n <= longest_common(text, whole)
+
+
+def luhn(n):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(n))) % 10 == 0
+
+
+def test_more_personal_data(spark):
+    gone = {
+        1: "4111 1111 1111 1111 123", 2: "4111 1111 1111 1111 12/27", 3: "12 4111 1111 1111 1111", 4: "1234 4111 1111 1111 1111", 5: "3782 822463 10005", 6: "4111-1111-1111-1111 4111-1111-1111-1111",
+        10: "DE89 3704 0044 0532 0130 00", 11: "DE89 3704 0044 0532 0130 00 USD", 12: "GB82 WEST 1234 5698 7654 32 EURO", 20: "12/31/1999", 21: "31 Dec 1999", 22: "Dec 31, 1999", 23: "1999/12/31", 24: "1890-05-05", 30: "2001:db8::8a2e:370:7334",
+        31: "2001:0db8:0000:0000:0000:8a2e:0370:7334", 40: "josé@example.com", 41: "123 45 6789", 42: "gho_" + "a1B2" * 9, 43: "xoxb-1234567890-abcdef", 44: "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.abcDEF123_-x", 45: "020 7946 0958",
+    }
+    kept = {100: "10:30:15 and a::b, std::vector, ::1, 12:34", 101: "4111 1111 1111 1112 123", 102: "1234 5678 9012 3456 7890", 103: "99/99/1999 and 1500-01-01", 104: "DE89 3704 0044 0532 0130 01", 105: "chapter 3 of 12 in 1999, 000 12 3456"}
+    rows = [(i, f"see {t} there") for i, t in (gone | kept).items()]
+    got = {r.doc_id: r for r in pii.pseudonymise(frame(spark, rows), "k").collect()}
+    text = {i: r.text[4:-6] for i, r in got.items()}
+    for i, t in gone.items():
+        assert text[i] != t, t
+    assert {i: text[i] for i in kept} == kept
+    number = re.sub(r"\D", "", text[1])[:16]
+    assert luhn(number) and number != "4111" * 4 and text[1].endswith(" 123") and text[2].endswith(" 12/27")
+    assert all(re.sub(r"\D", "", text[i]).endswith(number) for i in (3, 4)) and text[3].startswith("12 ") and text[4].startswith("1234 ")
+    assert text[6] == "-".join(re.findall("....", number)) + " " + "-".join(re.findall("....", number)) and got[6].n_card == 1
+    assert luhn(text[5].replace(" ", "")) and text[11] == text[10] + " USD" and text[12].endswith(" EURO") and re.fullmatch(r"GB\d\d WEST( \d{4}){3} \d\d EURO", text[12])
+    iban = text[10].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert re.fullmatch(r"(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}", text[30]) and text[30] == text[31]
+    days = {re.sub(r"\D", "", f"{text[23]}")}
+    assert days == {text[20][6:] + text[20][:2] + text[20][3:5]}
