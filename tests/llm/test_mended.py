@@ -97,8 +97,8 @@ def test_near_copies_are_found_and_only_they(spark, monkeypatch):
 
 
 def test_plan_of_segments_follows_the_number_of_texts():
-    assert near_copies.plan(100_000, 0.8, 5, 0.85) == (6, 21, 25)
-    segments, width, _ = near_copies.plan(10**9, 0.8, 5, 0.85)
+    assert near_copies.plan(100_000, 0.8, 5, 0.85) == (6, 21, 25, 16)
+    segments, width, *_ = near_copies.plan(10**9, 0.8, 5, 0.85)
     assert width == 33 and segments > 15
 
 
