@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanspark.functions import columns as C
+from scanspark.sources.scratch import stored
 
 
 def _cells(points: DataFrame, r: float, axes: Sequence[str], around: bool) -> DataFrame:
@@ -42,24 +43,30 @@ def nearest_neighbor(a: DataFrame, b: DataFrame, r: float, a_id: str, b_id: str,
     return a.select(*keys, a_id).join(best, [*keys, a_id], "left")
 
 
-def knn(points: DataFrame, k: int, r: float, point_id: str, keys: Sequence[str] = (), axes: Sequence[str] = "xyz", most_rounds: int = 8) -> DataFrame:
-    """point_id, neighbor_id, d2, rank: the k nearest others of each point; ties go to the smaller id.
+def knn(points: DataFrame, k: int, r: float, point_id: str, keys: Sequence[str] = (), axes: Sequence[str] = "xyz") -> DataFrame:
+    """point_id, neighbor_id, d2, rank: the k nearest others of each point, or all where its key has no more; ties go to the smaller id.
 
-    Points with fewer than k others within r are tried again with twice the radius (they alone), up to most_rounds times.
+    Points that have not found theirs within r are tried again with twice the radius (they alone) until it spans all points. Each round is stored.
     """
     p = points.select(*keys, F.col(point_id).alias("point_id"), *axes)
-    todo, out = p, None
-    for i in range(most_rounds):
-        near = radius_join(todo, p.withColumnRenamed("point_id", "neighbor_id"), r * 2**i, "point_id", "neighbor_id", keys, axes).filter("point_id <> neighbor_id")
+    size = p.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("most"))
+    edges = p.agg(*(F.max(a) - F.min(a) for a in axes)).first()
+    extent = sum((e or 0.0) ** 2 for e in edges) ** 0.5
+    todo = p.join(size, list(keys)) if keys else p.crossJoin(F.broadcast(size))
+    out = None
+    while out is None or not todo.isEmpty():
+        near = radius_join(todo, p.withColumnRenamed("point_id", "neighbor_id"), r, "point_id", "neighbor_id", keys, axes).filter("point_id <> neighbor_id")
         w = Window.partitionBy(*keys, "point_id")
-        ranked = near.withColumn("rank", F.row_number().over(w.orderBy("d2", "neighbor_id"))).filter(F.col("rank") <= k)
-        full = ranked.groupBy(*keys, "point_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select(*keys, "point_id")
-        last = i == most_rounds - 1
-        got = ranked if last else ranked.join(full, [*keys, "point_id"], "left_semi")
+        found = near.withColumn("rank", F.row_number().over(w.orderBy("d2", "neighbor_id"))).filter(F.col("rank") <= k)
+        found = stored(found.withColumn("n", F.count(F.lit(1)).over(w)), "neighbours")
+        whole = found.select(*keys, "point_id", "n").distinct().join(todo.select(*keys, "point_id", "most"), [*keys, "point_id"])
+        whole = whole.filter(F.col("n") >= F.least(F.lit(k), F.col("most"))) if r < extent else whole
+        got = found.join(whole.select(*keys, "point_id"), [*keys, "point_id"], "left_semi").drop("n")
         out = got if out is None else out.unionByName(got)
-        todo = todo.join(full, [*keys, "point_id"], "left_anti")
-        if not last and todo.isEmpty():
+        if r >= extent:
             break
+        todo = stored(todo.filter("most > 0").join(whole.select(*keys, "point_id"), [*keys, "point_id"], "left_anti"), "neighbours-todo")
+        r *= 2
     return out
 
 

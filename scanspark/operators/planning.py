@@ -64,14 +64,25 @@ def ranked(frame: DataFrame, key: str, order: Sequence[Column], name: str = "ran
     return frame.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
 
 
+def measurement_quality(visible: Column, projected: Column, incidence: Column) -> Column:
+    """The geometric mean of three shares, each clipped to 0 .. 1."""
+    return F.cbrt(C.clip(visible, 0.0, 1.0) * C.clip(projected, 0.0, 1.0) * C.clip(incidence, 0.0, 1.0))
+
+
 def coarse_gain(visible: Column, projected: Column, incidence: Column, deficit: Column, side_deficit: Column, pair: Column, weights: Sequence[float]) -> Column:
-    return F.cbrt(visible * projected * incidence) * (weights[0] * deficit + weights[1] * side_deficit + weights[2] * pair)
+    return measurement_quality(visible, projected, incidence) * (weights[0] * deficit + weights[1] * side_deficit + weights[2] * pair)
 
 
-def fine_gain(priority: Column, coverage: Column, rmse: Column, rmse_limit: float, consistency: Column, bonus: Column) -> Column:
-    """priority * (0.7 novelty + 0.3 recovery) + bonus; novelty is the missing coverage, recovery the error over its limit or the missing consistency."""
-    recovery = F.greatest(C.clip(F.coalesce(rmse / rmse_limit - 1, F.lit(0.0)), 0.0, 1.0), C.clip(1 - F.coalesce(consistency, F.lit(1.0)), 0.0, 1.0))
-    return priority * (0.7 * (1 - coverage) + 0.3 * recovery) + bonus
+def fine_gain(priority: Column, coverage: Column, rmse: Column, rmse_limit: float, consistency: Column, visible: Column, projected: Column, incidence: Column, bonus: Column, weights: Sequence[float] = (0.7, 0.3)) -> Column:
+    """What a view is worth for a patch: its priority times novelty and recovery, weighted, and a bonus; all in proportion to the measurement's quality.
+
+    Novelty is the missing coverage; recovery is the coverage times the greater of the missing consistency and the error over its limit, each
+    from 0 to 1 (1 where there is no error or no consistency yet).
+    """
+    quality, covered = measurement_quality(visible, projected, incidence), C.clip(coverage, 0.0, 1.0)
+    error = F.when(rmse.isNull() | F.isnan(rmse), 1.0).otherwise(C.clip(rmse / rmse_limit, 0.0, 1.0))
+    deficit = F.greatest(1 - C.clip(F.coalesce(consistency, F.lit(0.0)), 0.0, 1.0), error)
+    return (priority * (weights[0] * (1 - covered) + weights[1] * covered * deficit) + bonus) * quality
 
 
 def serpentine_order(candidates: DataFrame, key: str, first_side: str, row_id: str) -> DataFrame:

@@ -13,8 +13,9 @@ from scanspark.plans.pixel_queries import r6
 Q: dict = {}
 SQL: dict[str, str] = {}
 HIT = """hit AS (SELECT map_id, CAST(floor(x / 4) AS BIGINT) AS ix, CAST(floor(y / 4) AS BIGINT) AS iy, CAST(floor(z / 4) AS BIGINT) AS iz, seq FROM points_big),
-occupied AS (SELECT map_id, ix, iy, iz, min(seq) AS first_seq FROM hit WHERE ix BETWEEN 0 AND 11 AND iy BETWEEN 0 AND 19 AND iz BETWEEN 0 AND 3 AND seq % 4 = 0 GROUP BY 1, 2, 3, 4)"""
-VOTES = """votes AS (SELECT map_id, ix, iy, iz, count(*) AS free_votes FROM (SELECT DISTINCT * FROM hit) h LEFT JOIN occupied o USING (map_id, ix, iy, iz) WHERE first_seq IS NULL OR h.seq < first_seq GROUP BY 1, 2, 3, 4)"""
+occupied AS (SELECT map_id, ix, iy, iz, min(seq) AS first_seq FROM hit WHERE ix BETWEEN 0 AND 11 AND iy BETWEEN 0 AND 19 AND iz BETWEEN 0 AND 3 GROUP BY 1, 2, 3, 4),
+crossed AS (SELECT map_id, ix - 1 AS ix, iy, iz, seq FROM hit)"""
+VOTES = """votes AS (SELECT map_id, ix, iy, iz, count(*) AS free_votes FROM (SELECT DISTINCT * FROM crossed) h LEFT JOIN occupied o USING (map_id, ix, iy, iz) WHERE first_seq IS NULL OR h.seq < first_seq GROUP BY 1, 2, 3, 4)"""
 STATE = """state AS (SELECT map_id, ix, iy, iz, coalesce(free_votes, 0) AS free_votes, CASE WHEN first_seq IS NOT NULL THEN 'OCCUPIED' WHEN free_votes >= 3 THEN 'FREE' ELSE 'UNKNOWN' END AS state
 FROM votes FULL JOIN occupied USING (map_id, ix, iy, iz))"""
 
@@ -30,11 +31,12 @@ def query(name: str, *parts: str):
 
 
 def occupied(spark, sf):
-    return M.occupied_voxels(A.points_big(spark, sf).filter("seq % 4 = 0"), 4.0, (12, 20, 4))
+    return M.occupied_voxels(A.points_big(spark, sf), 4.0, (12, 20, 4))
 
 
 def crossings(spark, sf):
-    return A.points_big(spark, sf).select("map_id", "seq", *(F.floor(F.col(a) / 4).cast("long").alias(f"i{a}") for a in "xyz"))
+    """The voxel before each point's own, along x."""
+    return A.points_big(spark, sf).select("map_id", "seq", *((F.floor(F.col(a) / 4).cast("long") - int(a == "x")).alias(f"i{a}") for a in "xyz"))
 
 
 def states(spark, sf):
@@ -65,12 +67,12 @@ def _(spark, sf):
     return M.occupancy_stats(states(spark, sf), 10_000, n, 10)
 
 
-@query("voxel_union", A.POINTS_BIG, HIT, "SELECT map_id, ix, iy, iz FROM occupied UNION SELECT map_id, ix, iy, iz FROM hit WHERE seq = 1")
+@query("voxel_union", A.POINTS_BIG, HIT, "SELECT map_id, ix, iy, iz FROM occupied UNION SELECT map_id, ix, iy, iz FROM crossed WHERE seq = 1")
 def _(spark, sf):
     return M.voxel_union(occupied(spark, sf), crossings(spark, sf).filter("seq = 1"))
 
 
-@query("voxel_except", A.POINTS_BIG, HIT, "SELECT map_id, ix, iy, iz FROM hit EXCEPT SELECT map_id, ix, iy, iz FROM occupied")
+@query("voxel_except", A.POINTS_BIG, HIT, "SELECT map_id, ix, iy, iz FROM crossed EXCEPT SELECT map_id, ix, iy, iz FROM occupied")
 def _(spark, sf):
     return M.voxel_except(crossings(spark, sf), occupied(spark, sf))
 

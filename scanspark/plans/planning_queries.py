@@ -66,10 +66,11 @@ def _(spark, sf):
     return got.select("plan_id", "candidate_id", *r6("gain"), F.col("rank").cast("long"))
 
 
-@query("fine_rank", A.CANDIDATES, "g AS (SELECT plan_id, candidate_id, (1 + row % 3) * (0.7 * (1 - score) + 0.3 * greatest(least(greatest(tilt / 30.0::DOUBLE - 1, 0), 1), least(1, col / 12.0::DOUBLE))) + CASE WHEN side = 'back' THEN 0.1::DOUBLE ELSE 0 END AS gain, distance FROM candidates)",
+@query("fine_rank", A.CANDIDATES, """m AS (SELECT *, cbrt((0.5 + score / 2) * greatest(least(1 - distance, 1), 0) * cos(radians(tilt))) AS quality, greatest(col / 12.0::DOUBLE, least(tilt / 30.0::DOUBLE, 1)) AS deficit FROM candidates),
+g AS (SELECT plan_id, candidate_id, distance, (1 + row % 3) * (0.7 * (1 - score) * quality + 0.3 * score * deficit * quality) + CASE WHEN side = 'back' THEN 0.1::DOUBLE ELSE 0 END * quality AS gain FROM m)""",
 f"SELECT plan_id, candidate_id, round(gain, 6) AS gain, {RANKED.format('distance, candidate_id')} FROM g")
 def _(spark, sf):
-    gain = L.fine_gain(1 + F.col("row") % 3, F.col("score"), F.col("tilt").cast("double"), 30.0, 1 - F.col("col") / 12, F.when(F.col("side") == "back", 0.1).otherwise(0.0))
+    gain = L.fine_gain(1 + F.col("row") % 3, F.col("score"), F.col("tilt").cast("double"), 30.0, 1 - F.col("col") / 12, 0.5 + F.col("score") / 2, 1 - F.col("distance"), F.cos(F.radians("tilt")), F.when(F.col("side") == "back", 0.1).otherwise(0.0))
     got = L.ranked(A.candidates(spark, sf).withColumn("gain", gain), "plan_id", [F.desc(F.round("gain", 9)), F.col("distance"), F.col("candidate_id")])
     return got.select("plan_id", "candidate_id", *r6("gain"), F.col("rank").cast("long"))
 

@@ -53,10 +53,12 @@ def _(spark, sf):
     return sessions.verify_checksums(c.filter("seq <> 2"), c.select("path", said.alias("sha256")))
 
 
-@query("tree_hash", A.CHAIN, "SELECT count(*) AS files, CAST(sum(strlen(payload)) AS BIGINT) AS bytes FROM chain")
+@query("tree_hash", A.CHAIN, """f AS (SELECT strlen(payload) AS n, sha256(run_id || '/' || seq || ' ' || sha256(payload)) AS sha FROM chain),
+p AS (SELECT left(sha, 3) AS bucket, count(*) AS k, sum(n) AS n, sha256(string_agg(sha, '' ORDER BY sha)) AS h FROM f GROUP BY 1)""",
+"SELECT CAST(sum(k) AS BIGINT) AS files, CAST(sum(n) AS BIGINT) AS bytes, sha256(string_agg(bucket || h, '' ORDER BY bucket)) AS sha256 FROM p")
 def _(spark, sf):
     c = A.chain(spark, sf).select(F.concat_ws("/", "run_id", "seq").alias("path"), F.col("payload").cast("binary").alias("content"))
-    return sessions.tree_hash(c).select("files", "bytes")
+    return sessions.tree_hash(c)
 
 
 @query("flatten_view_metadata", A.VIEWS, "SELECT view_id, seq, tx, ty, tz, round(sqrt(pow(0.001 * (view_id % 3), 2) + pow(0.002, 2)), 9) AS moved_m, view_id % 9 * 1.5::DOUBLE AS bracket_ms FROM views")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanspark.operators.metrics import table_hash
+from scanspark.sources.scratch import stored
 
 MANIFEST = "schema_version int, session_id string, views array<struct<seq: int, view_id: string, files: array<struct<path: string, sha256: string>>>>"
 LABEL = "view_id string, side string, incidence_deg double"
@@ -58,20 +59,24 @@ def read_npy(content: bytes) -> np.ndarray:
 
 
 def append_new(frame: DataFrame, path: str, keys: list[str], partition: str | None = None) -> DataFrame:
-    """Appends the rows of frame whose keys the table at path doesn't have yet and returns those that it has (refused)."""
+    """Appends the rows of frame whose keys the table at path doesn't have yet, one of each key, and returns all others (refused).
+
+    Of rows of one key that with the smallest hash is appended. The rows are marked and stored before the table changes.
+    """
     spark = frame.sparkSession
     try:
-        there = spark.read.parquet(path).select(*keys)
+        there = spark.read.parquet(path).select(*keys).distinct().withColumn("__there", F.lit(True))
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         there = None
-    new = frame if there is None else frame.join(there, keys, "left_anti")
-    refused = frame.limit(0) if there is None else frame.join(there, keys, "left_semi")
-    refused = spark.createDataFrame(refused.toArrow()) if there is not None and refused.count() else frame.limit(0)
-    writer = new.write.mode("append")
+    order = Window.partitionBy(*keys).orderBy(F.xxhash64(*frame.columns), *frame.columns)
+    marked = frame.withColumn("__nth", F.row_number().over(order))
+    marked = marked.withColumn("__there", F.lit(None).cast("boolean")) if there is None else marked.join(there, keys, "left")
+    marked = stored(marked.select(*frame.columns, ((F.col("__nth") == 1) & F.col("__there").isNull()).alias("__new")), "append")
+    writer = marked.filter("__new").select(*frame.columns).write.mode("append")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
-    return refused
+    return marked.filter("NOT __new").select(*frame.columns)
 
 
 def verify_checksums(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -81,9 +86,15 @@ def verify_checksums(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def tree_hash(files: DataFrame) -> DataFrame:
-    """Files, bytes and a SHA-256 over the sorted (path, content hash) list of files (path, content)."""
-    each = files.select("path", F.length("content").cast("long").alias("n"), F.sha2("content", 256).alias("sha"))
-    return each.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("bytes"), F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("path", "sha")))), 256).alias("sha256"))
+    """Files, bytes and a SHA-256 of the set of files (path, content), whatever their order.
+
+    Each file's path and content hash are hashed; these hashes, sorted, are hashed in 4096 buckets by their first three digits, and the buckets' hashes in order.
+    """
+    sha = F.sha2(F.concat_ws(" ", "path", F.sha2("content", 256)), 256)
+    each = files.select(F.length("content").cast("long").alias("n"), sha.alias("sha"))
+    listed = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), ""), 256)
+    parts = each.groupBy(F.substring("sha", 1, 3).alias("bucket")).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), listed("sha").alias("sha"))
+    return parts.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("bytes"), listed(F.concat("bucket", "sha")).alias("sha256"))
 
 
 def write_snapshot(rows: DataFrame, path: str, map_id: int, seq: int) -> str:

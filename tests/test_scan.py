@@ -120,8 +120,28 @@ def test_trial_summary_and_hotspots(spark):
 
 
 def test_fine_gain(spark):
-    g = planning.fine_gain(F.lit(1.0), F.lit(0.5), F.lit(0.0045), 0.003, F.lit(0.5), F.lit(0.0))
-    assert spark.range(1).select(g.alias("g")).first().g == pytest.approx(0.7 * 0.5 + 0.3 * 0.5)
+    def gain(coverage, rmse, consistency, quality=1.0, bonus=0.0):
+        c = [F.lit(v) for v in (1.0, coverage)] + [F.lit(rmse).cast("double"), 0.003] + [F.lit(v) for v in (consistency, quality, quality, quality, bonus)]
+        return spark.range(1).select(planning.fine_gain(*c).alias("g")).first().g
+
+    assert gain(0.5, 0.004, 0.4) == pytest.approx(0.5)  # 0.7 * 0.5 + 0.3 * 0.5 * 1: the error is over its limit
+    assert gain(0.5, 0.0015, 0.4) == pytest.approx(0.7 * 0.5 + 0.3 * 0.5 * 0.6)
+    assert gain(0.5, None, 1.0) == pytest.approx(0.5) and gain(1.0, 0.0, 1.0) == 0.0
+    assert gain(0.0, None, 0.0, 0.5, 0.2) == pytest.approx((0.7 + 0.2) * 0.5) and gain(2.0, 0.004, 0.4, 3.0) == pytest.approx(0.3)
+
+
+def test_neighbours_far_away_are_found(spark):
+    points = spark.createDataFrame([(i, g, 1000.0 * i, 0.0, 0.0) for g in (0, 1) for i in range(4 if g else 2)], "point_id long, g int, x double, y double, z double")
+    got = sorted(map(tuple, joins.knn(points, 2, 0.01, "point_id", ["g"]).select("g", "point_id", "neighbor_id").collect()))
+    assert got == [(0, 0, 1), (0, 1, 0), (1, 0, 1), (1, 0, 2), (1, 1, 0), (1, 1, 2), (1, 2, 1), (1, 2, 3), (1, 3, 1), (1, 3, 2)]
+    assert joins.knn(points.limit(0), 2, 0.01, "point_id").count() == 0
+
+
+def test_appending_refuses_what_is_there_and_repeated_keys(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 1, "b"), (1, 2, "c")], "session_id long, seq long, v string")
+    assert sessions.append_new(rows, str(tmp_path / "w"), ["session_id", "seq"]).count() == 1
+    assert sorted(r.v for r in sessions.append_new(rows, str(tmp_path / "w"), ["session_id", "seq"]).collect()) == ["a", "b", "c"]
+    assert spark.read.parquet(str(tmp_path / "w")).count() == 2
 
 
 def test_coverage_is_additive_and_counts_an_observation_once(spark):
