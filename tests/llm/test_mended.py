@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from test_operators import WORDS, dedup_twin, frame, prose
 
@@ -96,6 +97,19 @@ def test_near_copies_are_found_and_only_they(spark, monkeypatch):
     assert all(jaccard(text[d] or "", text[r] or "") > 0.5 for d, r in of.items())
 
 
+@pytest.mark.parametrize("most_heads", [2, 32])
+def test_texts_near_no_first_one_of_a_bucket_meet_each_other(spark, monkeypatch, most_heads):
+    monkeypatch.setattr(near_copies, "MOST_HEADS", most_heads)
+    rnd = random.Random(5)
+    far = [rnd.getrandbits(64) for _ in range(25)]
+    low = {k: x for k, x in enumerate(far)} | {100 + k: far[k] ^ (1 << k) for k in range(10, 25)}
+    rows = [(7, k, x - (1 << 64) if x >> 63 else x, None) for k, x in low.items()] + [(8, 3, 0, None), (8, 9, 0, None), (None, 4, None, 2)]
+    prints = frame(spark, [(k, x.to_bytes(8, "big") * 2) for k, x in low.items()], "key long, fp binary")
+    near = {(a, b) for a, x in low.items() for b, y in low.items() if b < a and 2 * (x ^ y).bit_count() <= 25}
+    got = near_copies.candidates(frame(spark, rows, "variant long, key long, low long, leader long"), prints, 25, 16)
+    assert {(r.a, r.b) for r in got.collect()} == near and len(near) >= 15
+
+
 def test_plan_of_segments_follows_the_number_of_texts():
     assert near_copies.plan(100_000, 0.8, 5, 0.85) == (6, 21, 25, 16)
     segments, width, *_ = near_copies.plan(10**9, 0.8, 5, 0.85)
