@@ -162,6 +162,32 @@ def capsule_findings(capsules: DataFrame, clearance: float) -> DataFrame:
     return j.withColumn("gap", gap).filter(F.col("gap") <= F.col("ra") + F.col("rb") + clearance).select("sample_id", "i", "j", "gap")
 
 
+def capsule_box_findings(capsules: DataFrame, boxes: DataFrame, clearance: float, cell: float) -> DataFrame:
+    """sample_id, n, box_id of capsules (as in capsule_findings) whose segment meets a box (box_id, x0, x1, ..) expanded by r + clearance (slab test).
+
+    Both sides go to the grid cells of length cell that their bounds reach and meet there by equality; a pair is tested in one cell only, the
+    first that both reach, so nothing is made distinct. cell should be about as long as a box. A null coordinate or radius gives no finding.
+    """
+    e = F.col("r") + clearance
+    ends = [f"{a}{k}" for k in (0, 1) for a in "xyz"]
+    c = capsules.select("sample_id", "n", e.alias("__e"), *(F.col(x).alias("__c" + x) for x in ends))
+    b = boxes.select("box_id", *ends)
+    for a in "xyz":
+        low, high = F.least(f"__c{a}0", f"__c{a}1") - F.col("__e"), F.greatest(f"__c{a}0", f"__c{a}1") + F.col("__e")
+        c = c.withColumn(f"__l{a}", F.floor(low / cell)).withColumn(a, F.explode(F.sequence(f"__l{a}", F.floor(high / cell))))
+        b = b.withColumn(f"__m{a}", F.floor(F.col(f"{a}0") / cell)).withColumn(a, F.explode(F.sequence(f"__m{a}", F.floor(F.col(f"{a}1") / cell))))
+    j = c.join(b, list("xyz"))
+    enter, leave = [F.lit(0.0)], [F.lit(1.0)]
+    for a in "xyz":
+        j = j.filter(F.col(a) == F.greatest(f"__l{a}", f"__m{a}"))
+        start, way = F.col(f"__c{a}0"), F.col(f"__c{a}1") - F.col(f"__c{a}0")
+        low, high = F.col(f"{a}0") - F.col("__e"), F.col(f"{a}1") + F.col("__e")
+        still, at = F.abs(way) < 1e-12, [F.try_divide(side - start, way) for side in (low, high)]
+        enter.append(F.when(still, F.when(start.between(low, high), 0.0).otherwise(2.0)).otherwise(F.least(*at)))
+        leave.append(F.when(still, 1.0).otherwise(F.greatest(*at)))
+    return j.filter(F.greatest(*enter) <= F.least(*leave)).select("sample_id", "n", "box_id")
+
+
 def stereo_match(left: DataFrame, right: DataFrame, least: int = 6) -> DataFrame:
     """Corners (pair_id, corner_id, u, v) seen in both images, of pairs that share at least `least`."""
     j = left.join(right.select("pair_id", "corner_id", F.col("u").alias("u_right"), F.col("v").alias("v_right")), ["pair_id", "corner_id"])

@@ -149,12 +149,12 @@ def _(spark, sf):
     return J.voxel_in_boxes(states(spark, sf), boxes(spark, sf), 0.125).select("map_id", "ix", "iy", "iz", "state")
 
 
-@query("box_voxel_counts", A.POINTS, STATES, BOXES, """SELECT box_id, count(*) AS known, count(*) FILTER (WHERE state = 'OCCUPIED') AS occupied, count(*) FILTER (WHERE state = 'FREE') AS free FROM boxes JOIN states ON map_id = 1
-AND (ix + 0.5) * 0.125 BETWEEN x0 AND x1 AND (iy + 0.5) * 0.125 BETWEEN y0 AND y1 AND (iz + 0.5) * 0.125 BETWEEN z0 AND z1 GROUP BY 1""")
+@query("box_voxel_counts", A.POINTS, STATES, BOXES, """SELECT map_id, box_id, count(*) AS known, count(*) FILTER (WHERE state = 'OCCUPIED') AS occupied, count(*) FILTER (WHERE state = 'FREE') AS free FROM boxes JOIN states
+ON (ix + 0.5) * 0.125 BETWEEN x0 AND x1 AND (iy + 0.5) * 0.125 BETWEEN y0 AND y1 AND (iz + 0.5) * 0.125 BETWEEN z0 AND z1 GROUP BY 1, 2""")
 def _(spark, sf):
-    j = J.box_cells(boxes(spark, sf), 0.125).join(states(spark, sf).filter("map_id = 1"), ["ix", "iy", "iz"])
+    j = J.box_cells(boxes(spark, sf), 0.125).join(states(spark, sf), ["ix", "iy", "iz"])
     n = lambda s: F.sum((F.col("state") == s).cast("long"))
-    return j.groupBy("box_id").agg(F.count(F.lit(1)).alias("known"), n("OCCUPIED").alias("occupied"), n("FREE").alias("free"))
+    return j.groupBy("map_id", "box_id").agg(F.count(F.lit(1)).alias("known"), n("OCCUPIED").alias("occupied"), n("FREE").alias("free"))
 
 
 @query("capsule_findings", A.POINTS, """c AS (SELECT point_id // 8 AS sample_id, point_id % 8 AS n, 0.02 AS r, x AS x0, y AS y0, z AS z0, x + 0.1 AS x1, y AS y1, z AS z1 FROM points)""",
@@ -166,6 +166,20 @@ def _(spark, sf):
     return J.capsule_findings(c, 0.02).select("sample_id", "i", "j")
 
 
+def slab(a: str) -> tuple[str, str]:
+    still, low, high = f"abs({a}e - {a}s) < 1e-12", f"({a}0 - 0.04 - {a}s)", f"({a}1 + 0.04 - {a}s)"
+    way = f"CASE WHEN {still} THEN NULL ELSE {a}e - {a}s END"
+    return f"CASE WHEN {still} THEN CASE WHEN {low} <= 0 AND {high} >= 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE END ELSE least({low} / ({way}), {high} / ({way})) END", f"CASE WHEN {still} THEN 1.0::DOUBLE ELSE greatest({low} / ({way}), {high} / ({way})) END"
+
+
+@query("capsule_box_findings", A.POINTS, BOXES, """c AS (SELECT point_id AS sample_id, x AS xs, y AS ys, z AS zs, x + 0.1::DOUBLE * (point_id % 3 - 1) AS xe, y + 0.1::DOUBLE * (point_id % 2) AS ye, z AS ze FROM points)""",
+f"SELECT sample_id, box_id FROM c JOIN boxes ON greatest(0, {slab('x')[0]}, {slab('y')[0]}, {slab('z')[0]}) <= least(1, {slab('x')[1]}, {slab('y')[1]}, {slab('z')[1]})")
+def _(spark, sf):
+    k = F.col("point_id")
+    c = A.points(spark, sf).select(k.alias("sample_id"), F.lit(0).alias("n"), F.lit(0.02).alias("r"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("z").alias("z0"), (F.col("x") + 0.1 * (k % 3 - 1)).alias("x1"), (F.col("y") + 0.1 * (k % 2)).alias("y1"), F.col("z").alias("z1"))
+    return J.capsule_box_findings(c, boxes(spark, sf), 0.02, 0.5).select("sample_id", "box_id")
+
+
 CORNERS = "l AS (SELECT l_orderkey % 500 AS pair_id, l_partkey % 40 AS corner_id, min(l_quantity) AS u, min(l_tax) AS v FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2), r AS (SELECT l_orderkey % 500 AS pair_id, l_partkey % 40 AS corner_id, min(l_quantity) AS u, min(l_tax) AS v FROM lineitem WHERE l_linenumber = 3 GROUP BY 1, 2)"
 
 

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from scanspark.operators import maps as M
 from scanspark.operators import pixels as P
+from scanspark.operators.metrics import depth_metrics
 from scanspark.plans import adapters as A
 from scanspark.plans import map_queries as MQ
 from scanspark.plans.adapters import sql
-from scanspark.plans.pixel_queries import NATIVE, native, r6
+from scanspark.plans import metric_queries as MET
+from scanspark.plans.pixel_queries import NATIVE, STEREO, native, r6
 from scanspark.sources import logs, sessions
 from scanspark.sources.scratch import scratch_path, stored
 from scanspark.streaming import maps as stream_maps
@@ -70,12 +72,12 @@ def _(spark, sf):
     return sessions.flatten_view_metadata(v).select("view_id", "seq", "tx", "ty", "tz", F.round("moved_m", 9).alias("moved_m"), "bracket_ms")
 
 
-@query("snapshot_round_trip", A.POINTS_BIG, MQ.HIT, MQ.VOTES, MQ.STATE, "SELECT ix, iy, iz, free_votes, state FROM state WHERE map_id = 3")
+@query("snapshot_round_trip", A.POINTS_BIG, MQ.HIT, MQ.VOTES, MQ.STATE, "SELECT map_id, ix, iy, iz, free_votes, state FROM state")
 def _(spark, sf):
-    rows = stored(MQ.states(spark, sf).filter("map_id = 3").drop("map_id"), "map")
+    rows = stored(MQ.states(spark, sf).withColumnRenamed("map_id", "part"), "map")
     path = scratch_path(spark, "snapshots")
     digest = sessions.write_snapshot(rows, path, 3, 0)
-    return sessions.read_snapshot(spark, path, 3, 0, rows.schema, digest)
+    return sessions.read_snapshot(spark, path, 3, 0, rows.schema, digest).withColumnRenamed("part", "map_id")
 
 
 @query("ledger_round_trip", A.POINTS_BIG, MQ.BINS, MQ.LEDGER, "SELECT * FROM ledger")
@@ -101,6 +103,33 @@ def _(spark, sf):
     return spark.read.schema("view_id long, v int, u long, depth_m double, label string").option("header", True).csv(path)
 
 
+@query("write_depth_metrics", A.PIXELS, NATIVE, STEREO, MET.ERRORS, "SELECT view_id, count(*) AS n, round(avg(abs(err)), 6) AS mae, count(*) AS pixels, round(sum(err), 5) AS total FROM errors GROUP BY 1")
+def _(spark, sf):
+    e, path = stored(MET.errors(spark, sf).select("view_id", "v", "u", "err"), "errors"), scratch_path(spark, "depth-metrics")
+    m = depth_metrics(e, (), "view_id").select("view_id", "n", *r6("mae"))
+    for half in ("view_id % 2 = 0", "true"):
+        sessions.write_depth_metrics(e.filter(half), m.filter(half), path)
+    kept = spark.read.schema(e.schema).parquet(f"{path}/errors").groupBy("view_id").agg(F.count(F.lit(1)).alias("pixels"), F.round(F.sum("err"), 5).alias("total"))
+    return spark.read.schema(m.schema).parquet(f"{path}/metrics").join(kept, "view_id")
+
+
+@query("export_metrics", A.PIXELS, NATIVE, STEREO, MET.ERRORS, "SELECT view_id, count(*) AS n, round(round(avg(abs(err)), 6) * 1000, 3) AS mae_mm, round(avg(CASE WHEN abs(err) <= 0.0205 THEN 1.0::DOUBLE ELSE 0 END), 6) AS within_0 FROM errors GROUP BY 1")
+def _(spark, sf):
+    path = scratch_path(spark, "metrics")
+    m = depth_metrics(MET.errors(spark, sf), (0.0205,), "view_id").select("view_id", "n", *r6("mae", "within_0"))
+    sessions.export_metrics(m, path, {"mae": "mae_mm"}, ["within_0"])
+    back = spark.read.schema("view_id long, n long, mae_mm double, within_0 double").option("header", True).csv(path)
+    return back.select("view_id", "n", F.round("mae_mm", 3).alias("mae_mm"), "within_0")
+
+
+@query("map_expiry", A.SAMPLES, """m AS (SELECT trace_id AS map_id, id AS version, us, id % 5 = 0 AS stale FROM samples QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY id DESC) = 1)""",
+"SELECT map_id, version + 1 AS version, 'STALE' AS state FROM m WHERE NOT stale AND (us > 1704300000000000 OR us < 1704300000000000 - 3600000000)")
+def _(spark, sf):
+    s = A.samples(spark, sf)
+    maps = s.select(F.col("trace_id").alias("map_id"), F.col("id").alias("version"), F.when(F.col("id") % 5 == 0, "STALE").otherwise("READY").alias("state"), F.timestamp_micros("us").alias("built"))
+    return stream_maps.expired_maps(maps, 3600.0, F.timestamp_micros(F.lit(1_704_300_000_000_000)))
+
+
 def event_files(spark, sf) -> str:
     path = scratch_path(spark, "events")
     A.chain(spark, sf).select(F.col("run_id").cast("string"), "seq", F.lit("turn").alias("type"), "payload").write.json(path)

@@ -142,6 +142,73 @@ def export_overlay(points: DataFrame, path: str, label: str) -> None:
     points.withColumn("label", F.lit(label)).write.mode("append").option("header", True).csv(path)
 
 
+def write_depth_metrics(errors: DataFrame, metrics: DataFrame, path: str) -> DataFrame:
+    """Keeps views' error pixels (errors: view_id, ..) and their metrics row (view_id, ..) under path, and returns the metrics rows of views already there (refused).
+
+    A view's pixels are written before its metrics row and replace what a broken run left, so a view is there whole or not at all.
+    """
+    spark = errors.sparkSession
+    try:
+        there = spark.read.schema(metrics.schema).parquet(f"{path}/metrics").select("view_id").distinct()
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        there = None
+    new = metrics.select("view_id").distinct() if there is None else metrics.select("view_id").distinct().join(there, "view_id", "left_anti")
+    pixels = errors.join(stored(new, "views-new"), "view_id", "left_semi")
+    pixels.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("view_id").parquet(f"{path}/errors")
+    return append_new(metrics, f"{path}/metrics", ["view_id"])
+
+
+def export_metrics(metrics: DataFrame, path: str, lengths: dict[str, str], shares: list[str]) -> None:
+    """Metrics rows of pairs as CSV with a header: lengths (column in metres: name) in millimetres with six decimals, shares with nine, reasons joined by "; ", others as they are; null is empty."""
+    cell = lambda c, places: F.when(c.isNotNull(), F.format_string(f"%.{places}f", c.cast("double")))
+
+    def written(c: str):
+        if c in lengths:
+            return cell(F.col(c) * 1000, 6).alias(lengths[c])
+        if c in shares:
+            return cell(F.col(c), 9).alias(c)
+        return F.array_join(c, "; ").alias(c) if metrics.schema[c].dataType.typeName() == "array" else F.col(c)
+
+    metrics.select(*map(written, metrics.columns)).write.mode("append").option("header", True).csv(path)
+
+
+STEREO_META = "schema_version int, source struct<view_id: string, sequence_index: int, frame_number: long>, files map<string, struct<path: string, sha256: string>>"
+STEREO_SCHEMAS = (1, 2)
+
+
+def read_stereo_results(spark: SparkSession, path: str) -> DataFrame:
+    """view_id, seq, frame_number, v, u, disparity_px, valid, confidence (null where a result has none) and depth_m of each pixel of the results under path.
+
+    A result is a folder with metadata.json, which names its .npy arrays (disparity_px, valid_mask, depth_m and, perhaps, confidence) and their
+    SHA-256. An unknown schema, a missing array, another hash or unlike shapes are an error. The arrays of one result (an image) meet in one task.
+    """
+    folder = lambda c: F.regexp_replace(c, "/[^/]*$", "")
+    wanted = ["disparity_px", "valid_mask", "depth_m", "confidence"]
+    meta = spark.read.schema(STEREO_META).option("multiLine", True).option("mode", "FAILFAST").option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.json").json(path)
+    meta = meta.select(folder(F.col("_metadata.file_path")).alias("root"), "schema_version", "source.*", F.explode("files").alias("name", "file")).filter(F.col("name").isin(wanted))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npy").load(path)
+    bare = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    rows = meta.withColumn("at", bare(F.concat_ws("/", "root", "file.path"))).join(files.select(bare(F.col("path")).alias("at"), "content"), "at", "left")
+    rows = rows.select("root", "schema_version", "view_id", F.col("sequence_index").alias("seq"), "frame_number", "name", "content", F.coalesce(F.sha2("content", 256) == F.col("file.sha256"), F.lit(False)).alias("same"))
+
+    def decode(parts: pd.DataFrame) -> pd.DataFrame:
+        first = parts.iloc[0]
+        if first["schema_version"] not in STEREO_SCHEMAS or not parts["same"].all() or set(wanted[:3]) - set(parts["name"]):
+            raise ValueError(f"invalid stereo result {first['root']}")
+        arrays = {name: read_npy(bytes(content)) for name, content in zip(parts["name"], parts["content"], strict=True)}
+        if len({a.shape for a in arrays.values()}) > 1:
+            raise ValueError(f"arrays of unlike shapes in {first['root']}")
+        v, u = np.indices(arrays["depth_m"].shape)
+        out = {"view_id": first["view_id"], "seq": first["seq"], "frame_number": first["frame_number"], "v": v.ravel(), "u": u.ravel()}
+        out |= {"disparity_px": arrays["disparity_px"].ravel().astype(float), "valid": arrays["valid_mask"].ravel().astype(bool)}
+        out |= {"confidence": arrays["confidence"].ravel().astype(float) if "confidence" in arrays else None, "depth_m": arrays["depth_m"].ravel().astype(float)}
+        return pd.DataFrame(out)
+
+    return rows.groupBy("root").applyInPandas(decode, "view_id string, seq int, frame_number long, v int, u int, disparity_px double, valid boolean, confidence double, depth_m double")
+
+
 def run_model(frames: DataFrame, model, schema: str) -> DataFrame:
     """A user's callable (pandas DataFrame to pandas DataFrame) over batches of frames, on the executors."""
 
