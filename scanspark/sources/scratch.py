@@ -25,9 +25,9 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{scratch_root(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here, and a lost executor costs only its tasks."""
     spark = df.sparkSession
     path = scratch_path(spark, what)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
