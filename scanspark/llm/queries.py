@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanspark.llm import class_lm, decontaminate, licenses, line_dedup, packing, pii, quality_rules, shared, simhash, token_counts, url_reputation
+from scanspark.llm import class_lm, decontaminate, filter_audit, licenses, line_dedup, packing, pii, quality_rules, shared, simhash, token_alignment, token_counts, url_reputation
 from scanspark.llm.shared import texts
 
 
@@ -67,6 +67,16 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get("scanspark.pseudonym.key", "op10"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = token_alignment.align_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -78,9 +88,12 @@ QUERIES = {
     "op8_class_lm": op8_class_lm,
     "op9_url_verdicts": op9_url_verdicts,
     "op10_pii_pseudonyms": op10_pii_pseudonyms,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op9_url_verdicts": url_reputation.OP9_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
 }
