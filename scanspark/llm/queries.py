@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanspark.llm import class_lm, decontaminate, filter_audit, licenses, line_dedup, packing, pii, quality_rules, shared, simhash, token_alignment, token_counts, url_reputation
+from scanspark.llm import class_lm, decontaminate, filter_audit, licenses, line_dedup, packing, pii, quality_rules, secrets, shared, simhash, token_alignment, token_counts, url_reputation
 from scanspark.llm.shared import texts
 
 
@@ -77,6 +77,11 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("groups", "groups_sha256")
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -90,10 +95,12 @@ QUERIES = {
     "op10_pii_pseudonyms": op10_pii_pseudonyms,
     "op11_filter_audit": op11_filter_audit,
     "op12_token_alignment": op12_token_alignment,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op9_url_verdicts": url_reputation.OP9_SQL,
     "op11_filter_audit": filter_audit.OP11_SQL,
+    "op13_secret_scan": secrets.OP13_SQL,
 }
