@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -21,64 +22,107 @@ TIE = 1e-12
 def crossed_voxels(start: np.ndarray, end: np.ndarray, size: float) -> tuple[np.ndarray, np.ndarray]:
     """Ray numbers and voxels (n x 3) that rays from start to end pass through, their end voxels excluded.
 
-    All face crossings of all rays are laid out and sorted by ray and parameter; running counts of them by axis are the
-    voxels. Faces met at one moment are crossed at once.
+    All rays take a step at a time, over the nearest face of their voxel, or over all that are met at that moment. Axes are held apart, so a step is
+    a few passes over arrays of the rays that are still on their way.
     """
     first, last = np.floor(start / size).astype(np.int64), np.floor(end / size).astype(np.int64)
-    n = np.abs(last - first)
-    sign = np.sign(last - first)
-    rays, times, axes = [], [], []
+    ray = np.flatnonzero((first != last).any(1))
+    at, left, sign, when, step = [], [], [], [], []
     for a in range(3):
-        ray = np.repeat(np.arange(len(start)), n[:, a])
-        k = np.arange(len(ray)) - np.repeat(np.cumsum(n[:, a]) - n[:, a], n[:, a])
-        face = (first[ray, a] + np.where(sign[ray, a] > 0, k + 1, -k)) * size
+        away = last[ray, a] - first[ray, a]
+        at.append(first[ray, a].copy())
+        left.append(np.abs(away))
+        sign.append(np.sign(away))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            length = end[ray, a] - start[ray, a]
+            when.append(np.where(away != 0, ((at[a] + (away > 0)) * size - start[ray, a]) / length, np.inf))
+            step.append(np.where(away != 0, size * sign[a] / length, 0.0))
+    rays, voxels = [ray[:0]], [[c[:0] for c in at]]
+    while len(ray):
         rays.append(ray)
-        times.append((face - start[ray, a]) / (end[ray, a] - start[ray, a]))
-        axes.append(np.full(len(ray), a))
-    ray, t, axis = np.concatenate(rays), np.concatenate(times), np.concatenate(axes)
-    order = np.lexsort((t, ray))
-    ray, t, axis = ray[order], t[order], axis[order]
-    voxel = np.empty((len(ray), 3), np.int64)
-    total = n.sum(1)
-    begins = np.cumsum(total) - total
-    for a in range(3):
-        steps = np.cumsum(axis == a)
-        before = np.concatenate([[0], steps])[begins]
-        voxel[:, a] = first[ray, a] + sign[ray, a] * (steps - before[ray])
-    joint = np.zeros(len(ray), bool)  # the next crossing comes at the same moment
-    joint[:-1] = (ray[1:] == ray[:-1]) & (t[1:] - t[:-1] <= TIE * np.maximum(1, np.abs(t[:-1])))
-    keep = ~joint
-    all_rays, all_voxels = np.concatenate([np.arange(len(start)), ray[keep]]), np.concatenate([first, voxel[keep]])
-    free = (all_voxels != last[all_rays]).any(1)
-    return all_rays[free], all_voxels[free]
+        voxels.append([c.copy() for c in at])
+        now = np.minimum(np.minimum(when[0], when[1]), when[2])
+        now = now + TIE * np.maximum(1.0, now)
+        over = np.ones(len(ray), bool)
+        for a in range(3):
+            crossed = when[a] <= now
+            at[a] += sign[a] * crossed
+            left[a] -= crossed
+            when[a] += step[a] * crossed
+            none = left[a] == 0
+            when[a][none] = np.inf
+            over &= none
+        if over.any():
+            ray, *rest = (c[~over] for c in (ray, *at, *left, *sign, *when, *step))
+            at, left, sign, when, step = (rest[i : i + 3] for i in range(0, 15, 3))
+    return np.concatenate(rays), np.stack([np.concatenate(c) for c in zip(*voxels, strict=True)], 1)
+
+
+def free_voxels(start: np.ndarray, end: np.ndarray, size: float, margin: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Ray numbers and voxels that rays cross before their end less margin, the end's own voxel excluded."""
+    if not margin:
+        return crossed_voxels(start, end, size)
+    hit = np.floor(end / size).astype(np.int64)
+    length = np.linalg.norm(end - start, axis=1, keepdims=True)
+    end = start + (end - start) * np.clip(1 - margin / np.maximum(length, 1e-300), 0, 1)
+    ray, voxel = crossed_voxels(start, end, size)
+    # The last voxel of a shortened ray is crossed, too, unless it holds the hit.
+    ray = np.concatenate([ray, np.arange(len(end))])
+    voxel = np.concatenate([voxel, np.floor(end / size).astype(np.int64)])
+    free = (voxel != hit[ray]).any(1)
+    return ray[free], voxel[free]
+
+
+def distinct_rows(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """The distinct rows of columns of whole numbers, in order of appearance: as one number each, where their ranges allow it."""
+    low = [int(c.min()) for c in columns]
+    span = [int(c.max()) - b + 1 for c, b in zip(columns, low, strict=True)]
+    if math.prod(span) >= 1 << 62:
+        return list(pd.DataFrame(dict(enumerate(columns))).drop_duplicates().to_numpy().T)
+    code = np.zeros(len(columns[0]), np.int64)
+    for c, b, n in zip(columns, low, span, strict=True):
+        code = code * n + (c - b)
+    code, out = pd.unique(code), []
+    for b, n in zip(reversed(low), reversed(span), strict=True):
+        out.append(code % n + b)
+        code = code // n
+    return out[::-1]
+
+
+RAY = [f"{p}{a}" for p in "se" for a in "xyz"]
+VOXELS = "map_id long, seq long, ix long, iy long, iz long"
+#: Voxels that a task holds before it drops repeated ones and passes them on.
+HELD = 2_000_000
+
+
+def voxel_batches(frames: Iterable[pa.RecordBatch], size: float, margin: float) -> Iterator[pa.RecordBatch]:
+    """VOXELS of batches of map_id, seq and RAY; rows repeat only across blocks of HELD."""
+    held, n = [], 0
+
+    def out() -> pa.RecordBatch:
+        rows = distinct_rows([np.concatenate(c) for c in zip(*held, strict=True)])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["map_id", "seq", "ix", "iy", "iz"])
+
+    for frame in frames:
+        map_id, seq, *ends = (c.to_numpy(zero_copy_only=False) for c in frame.columns)
+        ray, voxel = free_voxels(np.stack(ends[:3], 1), np.stack(ends[3:], 1), size, margin)
+        if len(ray):
+            held.append([map_id[ray], seq[ray], *voxel.T])
+            n += len(ray)
+        if n >= HELD:
+            yield out()
+            held, n = [], 0
+    if n:
+        yield out()
 
 
 def ray_voxels(rays: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
     """map_id, seq, ix, iy, iz, each once, of voxels that the rays of a source (sx, sy, sz to ex, ey, ez) cross before their end less margin.
 
-    Repeated voxels of a batch go before the shuffle, so a source's rays cost about its voxels.
+    Repeated voxels of a task go before the shuffle, so a source's rays cost about its voxels.
     """
-    names = [f"{p}{a}" for p in "se" for a in "xyz"]
-
-    def crossed(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            table = frame.to_pandas()
-            start, end = table[names[:3]].to_numpy(float), table[names[3:]].to_numpy(float)
-            hit = np.floor(end / size).astype(np.int64)
-            if margin:
-                length = np.linalg.norm(end - start, axis=1, keepdims=True)
-                end = start + (end - start) * np.clip(1 - margin / np.maximum(length, 1e-300), 0, 1)
-            ray, voxel = crossed_voxels(start, end, size)
-            if margin:  # the last voxel of a shortened ray is crossed, too, unless it holds the hit
-                ray = np.concatenate([ray, np.arange(len(end))])
-                voxel = np.concatenate([voxel, np.floor(end / size).astype(np.int64)])
-                free = (voxel != hit[ray]).any(1)
-                ray, voxel = ray[free], voxel[free]
-            out = pd.DataFrame({"map_id": table["map_id"].to_numpy()[ray], "seq": table["seq"].to_numpy()[ray], "ix": voxel[:, 0], "iy": voxel[:, 1], "iz": voxel[:, 2]}).drop_duplicates()
-            yield pa.RecordBatch.from_pandas(out, preserve_index=False)
-
-    rows = rays.select(F.col("map_id").cast("long"), F.col("seq").cast("long"), *(F.col(n).cast("double") for n in names))
-    return rows.mapInArrow(crossed, "map_id long, seq long, ix long, iy long, iz long").distinct()
+    rows = rays.select(F.col("map_id").cast("long"), F.col("seq").cast("long"), *(F.col(n).cast("double") for n in RAY)).na.drop()
+    return rows.mapInArrow(lambda frames: voxel_batches(frames, size, margin), VOXELS).distinct()
 
 
 def moments(points: DataFrame, keys: Sequence[str], axes: Sequence[str] = "xyz") -> DataFrame:
