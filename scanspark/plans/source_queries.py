@@ -18,6 +18,7 @@ from scanspark.plans.pixel_queries import NATIVE, STEREO, native, r6
 from scanspark.sources import logs, sessions
 from scanspark.sources.scratch import scratch_path, stored
 from scanspark.streaming import maps as stream_maps
+from scanspark.streaming.occupancy import OccupancyLog
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -169,3 +170,21 @@ def _(spark, sf):
     out = scratch_path(spark, "stream-votes")
     run_stream(as_stream(MQ.crossings(spark, sf).repartition("seq"), "crossings"), stream_maps.append_votes(out))
     return M.free_votes(spark.read.parquet(out), MQ.occupied(spark, sf))
+
+
+@query("stream_occupancy_window", A.POINTS_BIG, """r AS (SELECT *, dense_rank() OVER (PARTITION BY map_id ORDER BY seq DESC) <= 10 AS kept FROM points_big),
+h AS (SELECT DISTINCT map_id, seq, CAST(floor(x / 4) AS BIGINT) AS ix, CAST(floor(y / 4) AS BIGINT) AS iy, CAST(floor(z / 4) AS BIGINT) AS iz FROM r WHERE kept),
+f AS (SELECT map_id, seq, ix - 1 AS ix, iy, iz FROM h), o AS (SELECT map_id, ix, iy, iz, min(seq) AS first_seq FROM h GROUP BY ALL),
+v AS (SELECT map_id, ix, iy, iz, count(*) FILTER (WHERE first_seq IS NULL OR f.seq < first_seq) AS n FROM f LEFT JOIN o USING (map_id, ix, iy, iz) GROUP BY ALL)""",
+"SELECT map_id, ix, iy, iz, coalesce(n, 0) AS free_votes, first_seq FROM v FULL JOIN o USING (map_id, ix, iy, iz)")
+def _(spark, sf):
+    """A map keeps its last ten sources, and is built anew whenever one of them leaves; a voxel's last point decides before its neighbour's."""
+    path = scratch_path(spark, "sources")
+    hits = A.points_big(spark, sf).select("map_id", "seq", *(F.floor(F.col(a) / 4).cast("long").alias(f"i{a}") for a in "xyz"), F.lit(True).alias("hit"))
+    rows = stored(hits.unionByName(hits.withColumns({"ix": F.col("ix") - 1, "hit": F.lit(False)})).distinct(), "hits")
+    for low in (0, 4, 8, 12):  # sources arrive in order
+        rows.filter(F.col("seq").between(low, low + 3)).coalesce(4).write.mode("append").parquet(f"{path}/{low:02d}")
+    log = OccupancyLog(scratch_path(spark, "occupancy"), keep=10, every=3).begin(spark)
+    for low in (0, 4, 8, 12):
+        run_stream(spark.readStream.schema(rows.schema).parquet(f"{path}/{low:02d}"), lambda batch, _, n=low // 4: log.add(batch, n))
+    return log.state(spark)
