@@ -32,8 +32,8 @@ def folder(spark, path, docs, labels=()):
 
 
 def audit_twin(docs, labels):
-    good = {d for d, q, _ in labels if q == 1}
-    toxic = {d for d, _, t in labels if t == 1}
+    good = {d for d, q, _ in labels if q == 1} - {None}
+    toxic = {d for d, _, t in labels if t == 1} - {None}
     least = {}
     for d, text, *_ in docs:
         if d is not None:
