@@ -1,11 +1,12 @@
-"""Near copies: SimHash deletion variants find candidates, the texts' word shingles decide.
-
-Fingerprints of three-word shingles are cut into segments; each segment is indexed once for each of its bits, with that bit struck out,
-so texts with a segment that differs in at most one bit share a variant. The width of segments follows the number of texts (few unlike texts share a
-variant), and there are so many that texts as similar as asked share one with the given probability. In each bucket of
-a variant, texts are candidates with its two first ones, and those near neither go on to a bucket of their own, so candidates grow with the texts, not with their
-pairs. A text that is near a first one by fingerprint, but no copy of it, meets others through its other variants only. A candidate
-counts if the fingerprints are near, the two are not in one group yet, and the exact Jaccard similarity of the sets of shingles is high enough.
+"""Near copies: texts whose sets of word shingles have a Jaccard similarity of at least a bound, all of them.
+
+SimHash deletion variants (see simhash) group most copies; each is verified against the first of its group. Fingerprints alone can't reach a bound on shingle sets without losing pairs, so
+prefixes finish the work: with all shingles in one fixed order, two sets as similar as asked share one among the first n - ceil(least * n) + 1
+of each. A text is indexed by those, a fifth of its shingles at a bound of 0.8, however large the corpus is. Shingles that many texts share come last in the order, by how common they
+are, so they seldom are in a prefix. Texts that share a prefix shingle, and whose lengths and places allow the bound, are compared by their whole sets.
+
+In a bucket of a shingle the texts meet its first ones; what is left meets the next ones, twice as many, as long as it has texts of two groups. So a family of copies costs its
+members, not its pairs, and no pair of different groups is left out.
 """
 
 from __future__ import annotations
@@ -16,153 +17,148 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanspark.llm import simhash
 from scanspark.llm.bit_filter import bit_filter, passing
 from scanspark.llm.shared import batches, stored
+from scanspark.llm.vocabulary import frequent
 from scanspark.operators.graph import components
 
-#: Words in a shingle of a fingerprint, and fingerprints' hash seeds.
-PRINT, SEED = 3, 42
-#: Shingles hashed before their bits are added up; texts indexed at once; rows of one bucket that a task passes on.
-BLOCK, CHUNK, CROWD = 1 << 16, 50_000, 8
+#: Words whose hashes a worker keeps; keys of texts it knows to have seen; shingles counted at once.
+MOST_WORDS, MOST_KEYS, BLOCK = 1_000_000, 1_000_000, 2_000_000
 #: Pairs with one text that meet in one group.
 MOST_PAIRS = 1000
-#: First texts of a bucket that the others meet in one round, at most.
-MOST_HEADS = 32
-
-
-def plan(texts: int, least: float, size: int, recall: float) -> tuple[int, int, int, int]:
-    """(segments, width, most, most_low): segments of a width that follows the number of texts, as many as give the recall for pairs of similarity
-    least on shingles of `size` words; and the most bits of 128 in which such a pair differs (two and a half standard deviations over the mean), and of the
-    first 64 (three).
-
-    Where a share x of the shingles of size words differs in each text, so does PRINT / size * x of the shingles of the fingerprints.
-    """
-    x = (1 - least) / (1 + least)
-    p = math.acos(1 - min(1.0, PRINT / size * x)) / math.pi
-    width = max(21, math.ceil(math.log2(max(texts, 1))) + 3)
-    one = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
-    most = [math.ceil(n * p + k * math.sqrt(n * p * (1 - p))) for n, k in ((128, 2.5), (64, 3))]
-    return max(2, math.ceil(math.log(1 - recall) / math.log(1 - one))), width, *most
-
-
-def shingles(words: list[bytes], size: int) -> tuple[bytes, list[int], list[int]]:
-    """The words joined by spaces, and where each shingle starts and stops (the whole, if there are fewer words)."""
-    line = b" ".join(words)
-    stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], stops[:-1] + 1])
-    if len(words) < size:
-        return line, [0], [len(line)]
-    return line, starts[: len(words) - size + 1].tolist(), stops[size - 1 :].tolist()
-
-
-def wide_fingerprint(text: bytes, n_bits: int) -> bytes:
-    """n_bits or more (a multiple of 128) bits of SimHash over XXH3-128 of A-Z-lower-cased word shingles, PRINT words each."""
-    line, starts, stops = shingles(text.lower().split(), PRINT)
-    out = []
-    for seed in range(SEED, SEED + -(-n_bits // 128)):
-        ones = np.zeros(128, np.int64)
-        for at in range(0, len(starts), BLOCK):
-            hashes = b"".join([xxhash.xxh3_128_digest(line[a:b], seed) for a, b in zip(starts[at : at + BLOCK], stops[at : at + BLOCK], strict=True)])
-            ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 16), axis=1).sum(0, dtype=np.int64)
-        out.append(np.packbits(ones * 2 > len(starts)).tobytes())
-    return b"".join(out)
-
-
-def shingle_set(text: bytes, size: int) -> np.ndarray:
-    line, starts, stops = shingles(text.lower().split(), size)
-    return np.unique(np.array([xxhash.xxh64_intdigest(line[a:b]) for a, b in zip(starts, stops, strict=True)], np.uint64))
-
-
-def fingerprinted(docs: DataFrame, n_bits: int) -> DataFrame:
-    """key, fp (binary) of docs (key, text)."""
-
-    def made(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in batches(frames):
-            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array([wide_fingerprint(t, n_bits) for t in frame.column(1).to_pylist()], pa.binary())], ["key", "fp"])
-
-    return docs.select("key", F.col("text").cast("binary")).mapInArrow(made, "key long, fp binary")
-
-
-def index(prints: DataFrame, segments: int, width: int, most: int) -> DataFrame:
-    """variant, key, low (the first 64 bits) of prints (key, fp), or, without a variant, key and leader: a candidate already.
-
-    Of a bucket that is crowded among the texts of one task, its first text goes on, and those near it only as candidates with it.
-    """
-
-    def made(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> Iterator[pa.RecordBatch]:
-            key = np.concatenate(keys)
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            raw = np.frombuffer(b"".join(prints_), np.uint8).reshape(len(key), -1)[order]
-            bits, part = np.unpackbits(raw, axis=1), np.ascontiguousarray(raw[:, :16]).view(np.uint64)
-            low = np.ascontiguousarray(raw[:, :8]).view(">i8").ravel().astype(np.int64)
-            weights = 1 << np.arange(width, dtype=np.int64)
-            for s in range(segments):
-                segment = bits[:, s * width : (s + 1) * width].astype(np.int64) @ weights
-                for k in range(width):
-                    v = (segment & ~(1 << k)) | (s * width + k) << 48
-                    by = np.argsort(v, kind="stable")  # within a bucket by key
-                    first = np.flatnonzero(np.concatenate([[True], v[by][1:] != v[by][:-1]]))
-                    size = np.diff(np.concatenate([first, [len(by)]]))
-                    head = by[np.repeat(first, size)]
-                    near = np.bitwise_count(part[by] ^ part[head]).sum(1) <= most
-                    gone = np.repeat(size > CROWD, size) & near & (by != head)
-                    stay, to = by[~gone], by[gone]
-                    n, m = len(stay), len(to)
-                    yield pa.RecordBatch.from_arrays([pa.array(v[stay]), pa.array(key[stay]), pa.array(low[stay]), pa.nulls(n, pa.int64())], names)
-                    if m:
-                        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(key[to]), pa.nulls(m, pa.int64()), pa.array(key[head[gone]])], names)
-
-        names = ["variant", "key", "low", "leader"]
-        keys, prints_, held = [], [], 0
-        for frame in frames:
-            keys.append(frame.column(0).to_numpy())
-            prints_ += frame.column(1).to_pylist()
-            held += frame.num_rows
-            if held >= CHUNK:
-                yield from flush()
-                keys, prints_, held = [], [], 0
+#: A shingle is common if tasks that saw it twice or more saw it so often; so many of the most common are known to every task.
+COMMON, MOST_COMMON = 16, 1 << 20
+#: First texts of a bucket that the others meet, in the first round.
+HEADS = 2
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, up to MOST_WORDS at a time."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
+
+
+#: Odd factors for a word's place in a shingle, and those that mix the sum: the golden ratio's multiples and the finalizer of MurmurHash3 (fixed values).
+PLACE = 0x9E3779B97F4A7C15
+MIX = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+
+
+def shingle_set(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
+    """The sorted set of 64-bit hashes of a text's shingles of size words, A-Z lower-cased; of a text of fewer words the whole is one."""
+    words = text.lower().split()
+    ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    width = size if len(words) >= size else len(words)
+    out = np.full(len(words) - width + 1, width, np.uint64)
+    for i in range(width):
+        out += ids[i : i + len(out)] * np.uint64((2 * i + 1) * PLACE & (1 << 64) - 1 | 1)
+    for factor in MIX:
+        out ^= out >> np.uint64(33)
+        out *= factor
+    return np.unique(out ^ out >> np.uint64(33))
+
+
+def fresh(frames: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Keys and texts of batches (key, text), most copies of one key in a task left out."""
+    seen: set[int] = set()
+    for frame in frames:
+        for part in batches([frame]):
+            keys, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+            new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
+            if len(seen) > MOST_KEYS:
+                seen.clear()
+            yield [keys[i] for i in new], [texts[i] for i in new]
+
+
+def common_shingles(docs: DataFrame, size: int) -> DataFrame:
+    """type (a shingle's hash), n: those that tasks saw in two texts or more of a block, added up, if that makes COMMON."""
+
+    def counted(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, n = WordHashes(), [], 0
+
+        def out() -> pa.RecordBatch:
+            own, times = np.unique(np.concatenate(held), return_counts=True)
+            own, times = own[times > 1], times[times > 1]
+            return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(times)], ["type", "n"])
+
+        for _, texts in fresh(frames):
+            for text in texts:
+                held.append(shingle_set(text, size, hashes))
+                n += len(held[-1])
+                if n >= BLOCK:
+                    yield out()
+                    held, n = [], 0
         if held:
-            yield from flush()
+            yield out()
 
-    return prints.select("key", "fp").mapInArrow(made, "variant long, key long, low long, leader long")
+    rows = docs.select("key", F.col("text").cast("binary")).mapInArrow(counted, "type long, n long")
+    return rows.groupBy("type").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
 
 
-def met(rows: DataFrame, heads: int, most_low: int) -> DataFrame:
-    """Of rows (variant, key, low): a, b (b < a, one of the first `heads` texts of a bucket near a in the first 64 bits); variant, a, low for a text that is near none."""
-    whole = Window.partitionBy("variant").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    own = F.struct("key", "low")
-    buckets = rows.select("variant", "key", "low", F.array(*[F.nth_value(own, i + 1).over(whole) for i in range(heads)]).alias("heads"))
-    near = lambda h: (h["key"] < F.col("key")) & (F.bit_count(h["low"].bitwiseXOR(F.col("low"))) <= most_low)
-    to = lambda variant, low, b: F.struct(variant.cast("long").alias("variant"), low.cast("long").alias("low"), b.cast("long").alias("b"))
-    none = F.lit(None)
-    pairs = F.transform(F.filter("heads", near), lambda h: to(none, none, h["key"]))
-    alone = F.when(F.col("key") > F.col("heads")[heads - 1]["key"], F.array(to(F.col("variant"), F.col("low"), none))).otherwise(F.array())
-    later = buckets.filter(F.col("key") > F.col("heads")[0]["key"])
-    return later.select(F.col("key").alias("a"), F.explode(F.when(F.size(pairs) > 0, pairs).otherwise(alone)).alias("to")).select("to.variant", "a", "to.low", "to.b").distinct()
+def prefixes(docs: DataFrame, least: float, size: int, common: DataFrame) -> DataFrame:
+    """h, key, n, cap of docs (key, text): the prefix shingles of each text, how many shingles it has, and how many of them do not come before h."""
+    table = common.toArrow()
+    by = np.argsort(table["type"].to_numpy().view(np.uint64))
+    known = docs.sparkSession.sparkContext.broadcast((table["type"].to_numpy().view(np.uint64)[by], np.log2(table["n"].to_numpy()[by]).astype(np.uint8)))
 
-
-def candidates(rows: DataFrame, prints: DataFrame, most: int, most_low: int) -> DataFrame:
-    """a, b (b < a) of the rows of index: texts and the first ones of their buckets, if most_low of the first 64 bits and most of 128 differ at most.
-
-    Texts that are near no first one of a bucket form a bucket of their own in the next round, which has more first ones, until none is left.
-    """
-    found = rows.filter("leader IS NOT NULL").select(F.col("key").alias("a"), F.col("leader").alias("b"))
-    rest, heads = rows.filter("variant IS NOT NULL").select("variant", "key", "low"), 2
-    while True:
-        table = stored(met(rest, heads, most_low), "near-met")
-        found = found.unionByName(table.filter("b IS NOT NULL").select("a", "b"))
-        rest, heads = table.filter("variant IS NOT NULL").select("variant", F.col("a").alias("key"), "low"), min(2 * heads, MOST_HEADS)
-        if rest.isEmpty():
-            break
-    part = lambda c, at: F.conv(F.hex(F.substring(c, at, 8)), 16, -10).cast("long")
-    side = lambda c: prints.select(F.col("key").alias(c), part("fp", 1).alias(f"{c}1"), part("fp", 9).alias(f"{c}2"))
-    pairs = found.distinct().join(side("a"), "a").join(side("b"), "b")
-    return pairs.filter(F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2"))) <= most).select("a", "b")
+    def made(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, (often, levels) = WordHashes(), known.value
+        for keys, texts in fresh(frames):
+            found, owner, caps, sizes = [], [], [], []
+            for key, text in zip(keys, texts, strict=True):
+                own = shingle_set(text, size, hashes)
+                n = len(own)
+                first = n - math.ceil(least * n - 1e-9) + 1
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+                    level = np.where(often[at] == own, levels[at], 0)
+                    own = own[np.lexsort((own, level))] if level.any() else own
+                found.append(own[:first])
+                owner.append(np.full(first, key))
+                caps.append(n - np.arange(first))
+                sizes.append(np.full(first, n))
+            if found:
+                h, key, n, cap = (np.concatenate(x) for x in (found, owner, sizes, caps))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key, pa.int64()), pa.array(n, pa.int32()), pa.array(cap, pa.int32())], ["h", "key", "n", "cap"])
+
+    return docs.select("key", F.col("text").cast("binary")).mapInArrow(made, "h long, key long, n int, cap int")
+
+
+def strong(least: float) -> Column:
+    """Whether a text could be as similar as asked to one of its own size, from this shingle on. Of two texts that are, one at least is strong."""
+    return F.col("cap") * (1 + least) + 1e-6 >= 2 * least * F.col("n")
+
+
+def met(rows: DataFrame, heads: int, least: float) -> DataFrame:
+    """Of the rows of buckets (h, key, n, cap): a, b (a pair with one of the first strong texts of a bucket, where lengths and places allow the bound), or h, a, n, cap of
+    what is left: the rows after those, while a strong one is among them."""
+    whole = Window.partitionBy("h")
+    order = whole.orderBy(F.desc("strong"), "key")
+    rows = rows.withColumn("strong", strong(least))
+    own = F.struct("key", "n", "cap", "strong")
+    first = [F.nth_value(own, i + 1).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for i in range(heads)]
+    rows = rows.select("*", F.array(*first).alias("heads"), F.row_number().over(order).alias("at"), F.count(F.lit(1)).over(whole).alias("all"), F.sum(F.col("strong").cast("int")).over(whole).alias("fit"))
+    rows = rows.filter((F.col("all") > 1) & (F.col("fit") > 0))
+
+    def near(x: Column, i: Column) -> Column:
+        n, cap = F.col("n"), F.col("cap")
+        lengths = F.least(n, x["n"]) + 1e-6 >= least * F.greatest(n, x["n"])
+        places = F.least(cap, x["cap"]) * (1 + least) + 1e-6 >= least * (n + x["n"])
+        return (i + 1 < F.col("at")) & x["strong"] & (x["key"] != F.col("key")) & lengths & places
+
+    empty = F.lit(None)
+    to = lambda h, n, cap, b: F.struct(h.cast("long").alias("h"), n.cast("int").alias("n"), cap.cast("int").alias("cap"), b.cast("long").alias("b"))
+    pairs = F.transform(F.filter("heads", near), lambda x: to(empty, empty, empty, x["key"]))
+    left = (F.col("at") > heads) & (F.col("fit") > heads) & (F.col("all") > heads + 1)
+    out = F.concat(pairs, F.when(left, F.array(to(F.col("h"), F.col("n"), F.col("cap"), empty))).otherwise(F.array()))
+    return rows.select(F.col("key").alias("a"), F.explode(out).alias("to")).select("a", "to.*")
 
 
 def shingle_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
@@ -170,9 +166,11 @@ def shingle_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     held = bit_filter(needed, "key")
 
     def made(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in batches(frames):
+        hashes = WordHashes()
+        for frame in frames:
             frame = frame.filter(pa.array(passing(frame.column(0).to_numpy().view(np.uint64), held.value)))
-            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array([shingle_set(t, size).tobytes() for t in frame.column(1).to_pylist()], pa.binary())], ["key", "shingles"])
+            for keys, texts in fresh([frame]):
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([shingle_set(t, size, hashes).tobytes() for t in texts], pa.binary())], ["key", "shingles"])
 
     rows = docs.select("key", F.col("text").cast("binary")).mapInArrow(made, "key long, shingles binary")
     return rows.groupBy("key").agg(F.first("shingles").alias("shingles")).join(needed, "key", "left_semi")
@@ -189,44 +187,62 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             good = []
             for x, y in zip(frame.column(2).to_pylist(), frame.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                good.append(common >= least * (len(x) + len(y) - common))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(common + 1e-9 >= least * (len(x) + len(y) - common))
             yield frame.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     return left.join(right.drop("parts"), ["b", "part"]).select("a", "b", "x", "y").mapInArrow(compared, "a long, b long")
 
 
-def near_links(docs: DataFrame, least: float = 0.8, size: int = 5, recall: float = 0.85) -> DataFrame:
+def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs whose texts are not in one group yet."""
+    group = lambda c: groups.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    both = pairs.join(group("a"), "a", "left").join(group("b"), "b", "left")
+    return both.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
+
+
+def near_links(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
     """node, root: the groups of near copies among the texts of docs (key: 64-bit hash of the text, text), but for texts alone in theirs.
 
-    First each text meets the first of all its candidates, then those of others that are not in its group yet.
+    Texts of one key are one. A group is what links of pairs of at least the similarity connect; all such pairs are found. Empty docs give no rows.
     """
-    n = docs.select("key").distinct().count()
-    segments, width, most, most_low = plan(n, least, size, recall)
-    prints = stored(fingerprinted(docs, segments * width).groupBy("key").agg(F.first("fp").alias("fp")), "wide-fingerprints")
-    pairs = stored(candidates(index(prints, segments, width, most), prints, most, most_low), "near-candidates")
-    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-keys")
-    sets = stored(shingle_sets(docs, needed, size), "shingle-sets")
-    links = stored(verified(pairs.groupBy("a").agg(F.min("b").alias("b")), sets, least), "near-links")
-    groups = components(links)
-    group = lambda c: groups.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    rest = pairs.join(group("a"), "a", "left").join(group("b"), "b", "left")
-    rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).join(links, ["a", "b"], "left_anti").select("a", "b")
-    more = stored(verified(stored(rest, "near-rest"), sets, least), "near-links")
-    return components(links.unionByName(more))
+    print_pairs = simhash.near_duplicates(docs.select(F.col("key").alias("doc_id"), "text"), with_text=False).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    print_pairs = stored(print_pairs.filter("a <> b").distinct(), "fingerprint-pairs")
+    common = frequent(stored(common_shingles(docs, size), "common-shingles"), MOST_COMMON)
+    rows = prefixes(docs, least, size, common).groupBy("h", "key").agg(F.max("n").alias("n"), F.max("cap").alias("cap"))
+    heads = HEADS
+    table = stored(met(rows, heads, least), "near-met")
+    pairs = stored(table.filter("b IS NOT NULL").select("a", "b").distinct(), "near-candidates")
+    rest = table.filter("h IS NOT NULL").select("h", F.col("a").alias("key"), "n", "cap")
+    ends = print_pairs.unionByName(pairs).select(F.explode(F.array("a", "b")).alias("key")).unionByName(rest.select("key"))
+    sets = stored(shingle_sets(docs, stored(ends.distinct(), "near-keys"), size), "shingle-sets")
+    groups = components(stored(verified(print_pairs, sets, least), "near-links"))
+    while True:
+        links = stored(verified(stored(apart(pairs, groups), "near-apart"), sets, least), "near-links")
+        groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+        named = rest.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        bucket = Window.partitionBy("h")
+        open_ = named.withColumns({"__low": F.min("root").over(bucket), "__high": F.max("root").over(bucket)}).filter("__low <> __high")
+        rest = stored(open_.select("h", "key", "n", "cap"), "near-rest")
+        if rest.isEmpty():
+            return groups
+        heads *= 2
+        table = stored(met(rest, heads, least), "near-met")
+        pairs = stored(table.filter("b IS NOT NULL").select("a", "b").distinct(), "near-candidates")
+        rest = table.filter("h IS NOT NULL").select("h", F.col("a").alias("key"), "n", "cap")
 
 
-def keep_one(docs: DataFrame, least: float = 0.8, size: int = 5, recall: float = 0.85) -> DataFrame:
+def keep_one(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
     """One document of each group of near copies of docs (doc_id, text, others): that of the smallest doc_id (of repeated rows of it, one).
 
     Texts of a Jaccard similarity of least or more on A-Z-lower-cased shingles of size words (of fewer words: the whole) are linked; groups are what links
-    connect. Pairs of just that similarity are found with the given probability, more similar ones with a higher one, equal texts always; no
-    pair below it is linked. A null text is empty; empty texts are one group. A null doc_id is the smallest. No column is added.
+    connect. No such pair is missed, and no pair below it is linked. A null text is empty; empty texts are one group. A null doc_id is the smallest. Columns pass
+    through; docs may have any names but __row, __of, __doc_id and __n. Very long texts are taken whole. An empty table stays empty.
     The texts are shuffled once, to meet the list of those that stay.
     """
     of, text = F.xxhash64("doc_id", "text"), F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select("doc_id", of.alias("of"), F.xxhash64(text).alias("key"), text.alias("text"))
-    groups = near_links(keyed.select("key", "text"), least, size, recall).select(F.col("node").alias("key"), "root")
+    groups = near_links(keyed.select("key", "text"), least, size).select(F.col("node").alias("key"), "root")
     rows = stored(keyed.groupBy("key", "doc_id", "of").agg(F.count(F.lit(1)).alias("n")), "near-rows")
     firsts = rows.groupBy("key").agg(F.min(F.struct("doc_id", "of", "n")).alias("m")).join(groups, "key", "left")
     stay = firsts.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("m").alias("m"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import WORDS, dedup_twin, frame, prose
 
-from scanspark.llm import decontaminate, licenses, line_dedup, near_copies, packing, pii, url_reputation
+from scanspark.llm import bit_filter, decontaminate, licenses, line_dedup, near_copies, packing, pii, url_reputation
 from scanspark.llm.token_counts import tokenizer
 
 
@@ -78,42 +78,76 @@ def edited(text, share, seed):
     return " ".join(w if rnd.random() > share else f"new{rnd.randrange(10**6)}" for w in text.split())
 
 
-def test_near_copies_are_found_and_only_they(spark, monkeypatch):
-    monkeypatch.setattr(near_copies, "CROWD", 3)
+def near_twin(text):
+    """Groups of texts linked by a Jaccard similarity of 0.8 or more, over all pairs."""
+    root = {d: d for d in text}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets = {d: shingles_of(t) for d, t in text.items()}
+    for a in text:
+        for b in text:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {d: find(d) for d in text}
+
+
+def shingles_of(text, size=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+
+
+@pytest.mark.parametrize("common", [4, 10**9])
+def test_near_copies_equal_all_pairs(spark, monkeypatch, common):
+    """Families of copies, chains, passages in many texts, and texts made of passages; with shingles told common early, and with none."""
     monkeypatch.setattr(near_copies, "MOST_PAIRS", 4)
-    base = {g: prose(250, 600 + g) for g in range(30)}
+    monkeypatch.setattr(near_copies, "COMMON", common)
+    base = {g: prose(120, 600 + g) for g in range(20)}
+    shared = [prose(55, 50 + k) for k in range(6)]
+    rnd = random.Random(8)
     rows = [(i, t) for i, t in base.items()]
-    rows += [(1000 + 100 * g + k, edited(base[g], 0.01, 100 * g + k)) for g in range(20) for k in range(12)]  # near copies
-    rows += [(9000 + g, edited(base[g], 0.12, 7000 + g)) for g in range(30)]  # too far from all
-    rows += [(20_000 + g, base[g].upper()) for g in range(5)] + [(30_000, "a b c"), (30_001, "A b  c"), (30_002, "a b d"), (30_003, None), (30_004, "")]
-    text = dict(rows)
+    rows += [(1000 + 100 * g + k, edited(base[g], rnd.choice((0.004, 0.01, 0.02)), 100 * g + k)) for g in range(12) for k in range(20)]
+    rows += [(4000 + k, f"{prose(6, k)} {shared[k % 2]} {prose(rnd.randint(1, 8), 900 + k)}") for k in range(60)]
+    rows += [(5000 + k, " ".join(rnd.sample(shared, rnd.randint(1, 4)))) for k in range(60)]
+    chain = prose(150, 77).split()
+    for k in range(25):
+        chain[5 * k] = f"x{k}"
+        rows.append((6000 + k, " ".join(chain)))
+    rows += [(9000 + g, edited(base[g], 0.12, 7000 + g)) for g in range(20)]
+    rows += [(20_000 + g, base[g].upper()) for g in range(5)] + [(30_000, "a b c"), (30_001, "A b  c"), (30_002, "a b d"), (30_003, None), (30_004, ""), (30_005, "a b c d e"), (30_006, "a b c d f")]
+    want = near_twin(dict(rows))
     got = {r.doc_id for r in near_copies.keep_one(frame(spark, rows)).collect()}
-    clean = set(range(9000, 9030)) | {30_000, 30_002, 30_003} | set(range(30))
-    assert clean <= got and not got & ({*range(20_000, 20_005), 30_001, 30_004})
-    near = [d for d in text if 1000 <= d < 9000 and jaccard(text[d], base[(d - 1000) // 100]) >= 0.8]
-    assert len(near) > 200 and sum(d not in got for d in near) >= 0.9 * len(near)
-    keyed = frame(spark, [(i, t or "") for i, t in rows], "key long, text string")
-    of = {r.node: r.root for r in near_copies.near_links(keyed).collect()}
-    assert all(jaccard(text[d] or "", text[r] or "") > 0.5 for d, r in of.items())
-
-
-@pytest.mark.parametrize("most_heads", [2, 32])
-def test_texts_near_no_first_one_of_a_bucket_meet_each_other(spark, monkeypatch, most_heads):
-    monkeypatch.setattr(near_copies, "MOST_HEADS", most_heads)
-    rnd = random.Random(5)
-    far = [rnd.getrandbits(64) for _ in range(25)]
-    low = {k: x for k, x in enumerate(far)} | {100 + k: far[k] ^ (1 << k) for k in range(10, 25)}
-    rows = [(7, k, x - (1 << 64) if x >> 63 else x, None) for k, x in low.items()] + [(8, 3, 0, None), (8, 9, 0, None), (None, 4, None, 2)]
-    prints = frame(spark, [(k, x.to_bytes(8, "big") * 2) for k, x in low.items()], "key long, fp binary")
-    near = {(a, b) for a, x in low.items() for b, y in low.items() if b < a and 2 * (x ^ y).bit_count() <= 25}
-    got = near_copies.candidates(frame(spark, rows, "variant long, key long, low long, leader long"), prints, 25, 16)
-    assert {(r.a, r.b) for r in got.collect()} == near and len(near) >= 15
-
-
-def test_plan_of_segments_follows_the_number_of_texts():
-    assert near_copies.plan(100_000, 0.8, 5, 0.85) == (6, 21, 25, 16)
-    segments, width, *_ = near_copies.plan(10**9, 0.8, 5, 0.85)
-    assert width == 33 and segments > 15
+    assert got == set(want.values())
+    assert len(got) < 200 and sum(v == 6000 for v in want.values()) == 25
+
+
+def test_rounds_of_a_bucket_leave_no_pair_out(spark):
+    """Every pair of a bucket that the bound allows is met in one round or another, those of weak texts with strong ones, too."""
+    rnd = random.Random(3)
+    rows = [(7, k, n, max(1, n - rnd.randint(0, n // 5))) for k, n in enumerate(rnd.choices(range(40, 60), k=40))] + [(8, 1, 50, 50), (9, 1, 50, 41), (9, 2, 50, 41)]
+    got, left, heads = set(), frame(spark, rows, "h long, key long, n int, cap int"), 2
+    while True:
+        table = near_copies.met(left, heads, 0.8).collect()
+        got |= {frozenset((r.a, r.b)) for r in table if r.b is not None}
+        rest = [(r.h, r.a, r.n, r.cap) for r in table if r.h is not None]
+        if not rest:
+            break
+        left, heads = frame(spark, rest, "h long, key long, n int, cap int"), heads * 2
+    seven = [r for r in rows if r[0] == 7]
+    want = {frozenset((a[1], b[1])) for a in seven for b in seven if a[1] < b[1] and min(a[2], b[2]) >= 0.8 * max(a[2], b[2]) and min(a[3], b[3]) * 1.8 >= 0.8 * (a[2] + b[2])}
+    assert got == want and len(want) > 50
+
+
+def test_bit_filter_holds_its_hashes(spark):
+    rnd = random.Random(2)
+    own = [rnd.getrandbits(64) - (1 << 63) for _ in range(3000)] + [-1, 0, (1 << 63) - 1, -(1 << 63)]
+    held = bit_filter.bit_filter(frame(spark, [(x,) for x in own], "h long"), "h").value
+    assert bit_filter.passing(np.array(own, np.int64).view(np.uint64), held).all()
+    others = np.random.default_rng(1).integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    assert bit_filter.passing(others, held).mean() < 0.01
 
 
 def test_registered_domains_and_hot_hosts(spark, monkeypatch):
