@@ -207,11 +207,12 @@ def register_step(source: DataFrame, target: DataFrame, radius: float, prior: fl
     return {"n": n, "step": step.tolist(), "rmse": got[27]}
 
 
-def pixel_components(pixels: DataFrame, jump: float, relative: float) -> DataFrame:
-    """pixels (view_id, v, u, depth_m) with component: 4-neighbours are linked if their depths differ by max(jump, relative * nearer) at most."""
+def pixel_components(pixels: DataFrame, jump: float, relative: float, diagonal: bool = False) -> DataFrame:
+    """pixels (view_id, v, u, depth_m) with component: neighbours (4, or 8 with diagonal) are linked if their depths differ by max(jump, relative * nearer) at most."""
     ids = pixels.filter("depth_m IS NOT NULL").withColumn("pixel", F.xxhash64("view_id", "v", "u"))
     other = ids.select("view_id", F.col("v").alias("ov"), F.col("u").alias("ou"), F.col("depth_m").alias("od"), F.col("pixel").alias("b"))
-    steps = ids.withColumn("s", F.explode(F.array(F.struct(F.lit(0).alias("dv"), F.lit(1).alias("du")), F.struct(F.lit(1).alias("dv"), F.lit(0).alias("du")))))
+    ways = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
+    steps = ids.withColumn("s", F.explode(F.array(*(F.struct(F.lit(dv).alias("dv"), F.lit(du).alias("du")) for dv, du in ways))))
     steps = steps.select("view_id", (F.col("v") + F.col("s.dv")).alias("ov"), (F.col("u") + F.col("s.du")).alias("ou"), "depth_m", F.col("pixel").alias("a"))
     close = F.abs(F.col("depth_m") - F.col("od")) <= F.greatest(F.lit(jump), relative * F.least("depth_m", "od"))
     roots = components(steps.join(other, ["view_id", "ov", "ou"]).filter(close).select("a", "b"))

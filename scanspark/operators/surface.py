@@ -49,8 +49,8 @@ def _solve(frames: Iterable[pd.DataFrame], names: list[str], keys: list[str]) ->
         yield pd.concat([frame[keys].reset_index(drop=True), pd.DataFrame(c, columns=[f"c{i}" for i in range(6)])], axis=1)
 
 
-def fit_height_surface(points: DataFrame, keys: Sequence[str], seed: Column | None = None, rounds: int = 4) -> DataFrame:
-    """points with height and residual of a quadratic z(x, y) by key, fitted to the seed rows with Huber weights (1.345 times 1.4826 MAD)."""
+def fit_height_surface(points: DataFrame, keys: Sequence[str], seed: Column | None = None, rounds: int = 4, factor: float = 1.345, floor: float = 1e-9, least: float = 0.0) -> DataFrame:
+    """points with height and residual of a quadratic z(x, y) by key, fitted to the seed rows with Huber weights (factor times 1.4826 MAD, that floor at least; the limit is `least` at least)."""
     keys = list(keys)
     rows = points.withColumn("__seed", F.lit(True) if seed is None else seed)
     kinds = dict(points.dtypes)
@@ -66,7 +66,7 @@ def fit_height_surface(points: DataFrame, keys: Sequence[str], seed: Column | No
         work = rows.join(fit, keys).withColumn("height", height).withColumn("residual", F.col("z") - F.col("height")).drop(*(f"c{i}" for i in range(6)))
         mad = work.filter("__seed").groupBy(*keys).agg(F.percentile(F.abs("residual"), 0.5).alias("__mad"))
         work = work.join(mad, keys, "left")
-        limit = 1.345 * F.greatest(1.4826 * F.col("__mad"), F.lit(1e-9))
+        limit = F.greatest(F.lit(least), factor * F.greatest(1.4826 * F.col("__mad"), F.lit(floor)))
         weight = F.when(F.col("__seed"), F.least(F.lit(1.0), F.try_divide(limit, F.abs("residual")))).otherwise(0.0)
         weight = F.coalesce(weight, F.lit(1.0))
     return work.drop("__seed", "__mad")
