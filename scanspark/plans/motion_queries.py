@@ -8,7 +8,10 @@ from scanspark.functions import columns as C
 from scanspark.functions.tables import register_tables
 from scanspark.operators import motion, registration
 from scanspark.operators import view_plans as V
+from scanspark.operators.fins import Fin, segment_fin
+from scanspark.operators.foreground import HINT, REGION, Foreground, select_foreground
 from scanspark.operators.geometry import estimate_normals
+from scanspark.operators.proxies import Proxy, bilateral_proxy
 from scanspark.plans import adapters as A
 from scanspark.plans.adapters import sql
 from scanspark.plans.geometry_queries import rays
@@ -126,7 +129,7 @@ def _(spark, sf):
 
 @query("settled_reports")
 def _(spark, sf):
-    rules = Settling(3 * 3_600_000_000, 10 * 24 * 3_600_000_000, 40_000 * 1_000_000, 0.06, 0.06, 0.2)
+    rules = Settling(3 * 3_600_000_000, 10 * 24 * 3_600_000_000, 10 * 24 * 3_600_000_000, 0.06, 0.06, 0.2)
     s = robot_states(spark, sf).select("trace_id", "us", F.col("us").alias("host_us"), "ctrl_us", "q", F.lit(True).alias("stopped"), F.lit(None).cast("array<double>").alias("speeds"), *C.POSE)
     return settled_table(s, rules)
 
@@ -138,3 +141,31 @@ def _(spark, sf):
     name = f"rays_{abs(hash(sf)) % 10**8}"
     rays(spark, sf).createOrReplaceTempView(name)
     return spark.sql(f"SELECT DISTINCT * FROM voxels_of_rays(TABLE(SELECT CAST(map_id AS LONG) AS map_id, CAST(seq AS LONG) AS seq, CAST(sx AS DOUBLE) AS sx, CAST(sy AS DOUBLE) AS sy, CAST(sz AS DOUBLE) AS sz, ex, ey, ez FROM {name}), 2.0D, 0.0D)")
+
+
+@query("foreground_modes")
+def _(spark, sf):
+    """Depth images of 50 columns, a third of them with a hint and a third with a region."""
+    t = A.table(spark, sf, "lineitem")
+    f = t.groupBy(F.col("l_linenumber").alias("v"), F.floor(F.col("l_partkey") / 8).alias("at")).agg((1 + F.min("l_quantity") * 0.02).alias("depth_m"))
+    f = f.select(F.floor(F.col("at") / 50).alias("view_id"), "v", (F.col("at") % 50).alias("u"), "depth_m", (F.col("depth_m") < 1.9).alias("valid"))
+    mode = F.when(F.col("view_id") % 3 == 1, HINT).when(F.col("view_id") % 3 == 2, REGION)
+    seeds = f.select("view_id", mode.alias("mode"), "v", "u").filter("mode IS NOT NULL AND v BETWEEN 3 AND 5 AND u BETWEEN 5 AND 30")
+    _, report = select_foreground(f, seeds, Foreground(1.0, 1.9, 20, 1, 0.05, 0.03, ambiguity=0.95))
+    return report.select("view_id", "mode", "pixels", "valid", "components", "at_border", "interior", "largest", "second", "seeds", "valid_seeds", "mask_seeds", "mask", *r6("depth_mid"), "reason", "passed")
+
+
+@query("segment_fin")
+def _(spark, sf):
+    p = A.points(spark, sf)
+    n = dict(zip(("nx", "ny", "nz"), C.normalised([F.col("x") * 0.3, F.col("y") * 0.3, F.col("z")]), strict=True))
+    parts, _ = segment_fin(p.withColumns(n), ["side"], "point_id", Fin(0.12, 0.1, 0.06, 0.8, 0.7, 8, 0.9, least_main_seeds=10))
+    return parts.select("side", "point_id", *r6("residual"), "part")
+
+
+@query("bilateral_proxy")
+def _(spark, sf):
+    p = A.points(spark, sf)
+    cameras = p.groupBy("view_id").agg(F.avg("x").alias("tx"), F.avg("y").alias("ty"), F.lit(1.0).alias("tz"))
+    got = bilateral_proxy(p, cameras, Proxy(0.05, 0.03, least_cosine=0.2, planar=(0.6, 0.4), margin=0.01, hidden_margin=0.01), ["view_id"])
+    return got.select("view_id", "n", "voxels", *r6("ex", "ey", "ez", "cosine", "tx", "ty", "tz"), "frame", "reason")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scanspark.plans import geometry_queries, join_queries, map_queries, metric_queries, pixel_queries, planning_queries, source_queries, surface_queries
+from scanspark.plans import geometry_queries, join_queries, map_queries, metric_queries, motion_queries, pixel_queries, planning_queries, source_queries, surface_queries
 
-MODULES = [pixel_queries, join_queries, map_queries, metric_queries, planning_queries, geometry_queries, surface_queries, source_queries]
+MODULES = [pixel_queries, join_queries, map_queries, metric_queries, planning_queries, geometry_queries, surface_queries, source_queries, motion_queries]
 
 
 def queries() -> dict:
