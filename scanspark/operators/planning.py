@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanspark.functions import columns as C
+from scanspark.sources.scratch import stored
 
 
 def candidate_metrics(candidates: DataFrame, standoff: float, low: Sequence[float], high: Sequence[float]) -> DataFrame:
@@ -36,28 +36,36 @@ def candidate_filter(candidates: DataFrame, limits: dict[str, tuple[float | None
 
 
 def duplicate_pose_suppress(candidates: DataFrame, near: DataFrame, key: str, row_id: str) -> DataFrame:
-    """candidates with kept: in order of score (then id) a candidate goes if one kept before is near it. near: key, a, b.
+    """key, row_id, kept: in order of score (then id) a candidate goes if one kept before is near it. candidates: key, row_id (unique in a key), score. near: key, a, b.
 
-    The rule depends on what was kept before, so a plan is folded in order; plans are of bounded size.
+    Rounds over all plans at once: who has no undecided better one near is kept, and who is near a kept one goes. That is what taking them one after another gives. Every round
+    is stored and decides the best undecided candidate of each cluster at least; the driver gets one number a round.
     """
-
-    def fold(_: tuple, rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        by: dict = {}
-        for a, b in zip(pairs["a"], pairs["b"], strict=True):
-            by.setdefault(a, set()).add(b)
-            by.setdefault(b, set()).add(a)
-        kept: set = set()
-        rows = rows.sort_values(["score", row_id], ascending=[False, True])
-        flags = []
-        for x in rows[row_id]:
-            ok = not (by.get(x, set()) & kept)
-            flags.append(ok)
-            if ok:
-                kept.add(x)
-        return pd.DataFrame({key: rows[key], row_id: rows[row_id], "kept": flags})
-
-    schema = f"{key} {dict(candidates.dtypes)[key]}, {row_id} {dict(candidates.dtypes)[row_id]}, kept boolean"
-    return candidates.select(key, row_id, "score").groupBy(key).cogroup(near.select(*(F.col(c).alias(c) for c in (key, "a", "b"))).groupBy(key)).applyInPandas(fold, schema)
+    on = [key, row_id]
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), row_id))
+    rows = stored(candidates.select(*on, rank.alias("rank")), "candidate-ranks")
+    end = lambda c: rows.select(key, F.col(row_id).alias(c), F.col("rank").alias(f"{c}_rank"))
+    pairs = near.select(key, F.col("a").alias("a"), F.col("b").alias("b")).filter("a <> b").join(end("a"), [key, "a"]).join(end("b"), [key, "b"])
+    better = F.col("a_rank") < F.col("b_rank")
+    first, then = F.when(better, F.col("a")).otherwise(F.col("b")), F.when(better, F.col("b")).otherwise(F.col("a"))
+    edges = stored(pairs.select(key, first.alias("better"), then.alias("worse")).distinct(), "candidate-pairs")
+    decided = rows.select(*on).join(edges.select(key, F.col("worse").alias(row_id)).distinct(), on, "left_anti").withColumn("kept", F.lit(True))
+    decided = stored(decided, "candidates-decided")
+    new = decided
+    while not edges.isEmpty():
+        named = lambda c: new.select(key, F.col(row_id).alias(c), F.col("kept").alias("__kept"))
+        # Who is near a kept better one goes; the pairs of a decided one are done with, and who has no better one left near is kept.
+        hit = edges.join(named("better"), [key, "better"], "left")
+        gone = hit.filter("__kept").select(key, F.col("worse").alias(row_id)).distinct()
+        gone = stored(gone, "candidates-gone")
+        open_ = edges.select(key, F.col("worse").alias(row_id)).distinct().join(gone, on, "left_anti")
+        left = hit.filter("__kept IS NULL").select(key, "better", "worse")
+        left = left.join(gone.select(key, F.col(row_id).alias("worse")), [key, "worse"], "left_anti").join(gone.select(key, F.col(row_id).alias("better")), [key, "better"], "left_anti")
+        edges = stored(left.select(key, "better", "worse"), "candidate-pairs")
+        free = open_.join(edges.select(key, F.col("worse").alias(row_id)).distinct(), on, "left_anti").withColumn("kept", F.lit(True))
+        new = stored(free.unionByName(gone.withColumn("kept", F.lit(False))), "candidates-new")
+        decided = decided.unionByName(new)
+    return decided
 
 
 def ranked(frame: DataFrame, key: str, order: Sequence[Column], name: str = "rank") -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,19 +30,39 @@ def session_ticks(ticks: DataFrame, gap: str, late: str | None = None) -> DataFr
 def rate_limited_trace(states: DataFrame, period_us: int) -> DataFrame:
     """trace_id, id, us of the samples kept: the first, then each whose controller clock is period_us or more past the last one kept, and the last.
 
-    The rule depends on what was kept before, so a trace is folded in order (a trace is one recording of bounded length).
+    The rule depends on what was kept before. Traces are dealt out whole and sorted (by us, then id); a task takes the batches it gets one after another and remembers the clock of the
+    last sample kept and the last sample seen, so it holds a batch, not a trace. Rows without a trace or a controller clock are left out.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["us", "id"])
-        keep, last = [], None
-        for at, us in enumerate(rows["ctrl_us"].tolist()):
-            if last is None or us - last >= period_us or at == len(rows) - 1:
-                keep.append(at)
-                last = us
-        return rows.iloc[keep][["trace_id", "id", "us"]]
-
-    return states.select("trace_id", "id", "us", "ctrl_us").groupBy("trace_id").applyInPandas(fold, "trace_id long, id long, us long")
+    def folded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trace, kept, tail = None, 0, None  # tail: the last sample of the trace so far, if it is not kept
+        for frame in frames:
+            out = []
+            for key, part in frame.groupby("trace_id", sort=False):
+                if key != trace:
+                    out += [tail] if tail is not None else []
+                    trace, kept = key, -math.inf
+                clocks = part["ctrl_us"].to_numpy()
+                rising = bool((np.diff(clocks) >= 0).all())
+                at, keep = 0, []
+                while at < len(clocks):
+                    # The next one that is far enough; in a clock that never goes back it is found by halving.
+                    due = clocks[at:] >= kept + period_us if not rising else None
+                    at += int(np.searchsorted(clocks[at:], kept + period_us)) if rising else int(due.argmax()) if due.any() else len(due)
+                    if at < len(clocks):
+                        keep.append(at)
+                        kept = int(clocks[at])
+                        at += 1
+                rows = part[["trace_id", "id", "us"]]
+                out += [rows.iloc[keep]] if keep else []
+                tail = None if keep and keep[-1] == len(clocks) - 1 else rows.iloc[[-1]]
+            if out:
+                yield pd.concat(out)
+        if tail is not None:
+            yield tail
+
+    rows = states.select("trace_id", "id", "us", "ctrl_us").filter("trace_id IS NOT NULL AND ctrl_us IS NOT NULL")
+    return rows.repartition("trace_id").sortWithinPartitions("trace_id", "us", "id").mapInPandas(folded, "trace_id long, id long, us long")
 
 
 def rate_limited_stream(states: DataFrame, period_us: int) -> DataFrame:
