@@ -107,9 +107,14 @@ def _(spark, sf):
     return M.tick_summary(A.samples(spark, sf), 50.0, "trace_id").select("trace_id", "n", "most", "p95", *(F.round(c, 9).alias(c) for c in ("mean", "mean_overrun", "most_overrun")))
 
 
-@query("tracking_deviation", A.SAMPLES, "SELECT trace_id, id % 6 AS joint, round(max(abs(value - 50)), 6) AS deviation FROM samples GROUP BY 1, 2")
+@query("tracking_deviation", A.SAMPLES, "j AS (SELECT trace_id, CAST(j AS INTEGER) AS joint, value * (j + 1) / 10 AS command, value * (j + 1) / 10 + id * (j + 3) % 7 * 0.01::DOUBLE - 0.03::DOUBLE AS actual FROM samples, (SELECT unnest(range(0, 6)) AS j))", "SELECT trace_id, joint, count(*) AS n, round(max(abs(command - actual)), 6) AS deviation FROM j GROUP BY 1, 2")
 def _(spark, sf):
-    return A.samples(spark, sf).groupBy("trace_id", (F.col("id") % 6).alias("joint")).agg(F.round(F.max(F.abs(F.col("value") - 50)), 6).alias("deviation"))
+    from scanspark.operators.reports import tracking_deviation
+
+    command = [F.col("value") * (j + 1) / 10 for j in range(6)]
+    actual = [c + F.col("id") * (j + 3) % 7 * 0.01 - 0.03 for j, c in enumerate(command)]
+    s = A.samples(spark, sf).select("trace_id", F.array(*command).alias("command"), F.array(*actual).alias("actual"))
+    return tracking_deviation(s, "trace_id").select("trace_id", "joint", "n", *r6("deviation"))
 
 
 @query("monotonic_check", A.CHAIN, "SELECT run_id, count(*) AS n, min(seq) = 0 AND max(seq) = count(*) - 1 AND count(DISTINCT seq) = count(*) AS contiguous FROM (SELECT * FROM chain WHERE NOT (run_id % 5 = 0 AND seq = 1)) GROUP BY 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scanspark.functions import columns as C
 from scanspark.operators import joins as J
 from scanspark.operators import planning as L
+from scanspark.operators import reports as R
 from scanspark.plans import adapters as A
 from scanspark.plans.adapters import sql
 from scanspark.plans.pixel_queries import r6
@@ -19,7 +20,7 @@ def query(name: str, *parts: str):
     def add(f):
         Q[name] = f
         if parts:
-            SQL[name] = sql(*parts)
+            SQL[name] = sql(*parts).replace("WITH ", "WITH RECURSIVE ", 1)
         return f
 
     return add
@@ -113,17 +114,76 @@ def _(spark, sf):
     return gate(g, {"n": (100, None), "front": (95, None), "back": (45, None), "rows": (8, None)}).select("plan_id", "n", "passed", "reasons")
 
 
-@query("plan_inspection", A.CANDIDATES, "SELECT plan_id, side, row, count(*) AS n, count(*) FILTER (WHERE score >= 0.48 AND tilt <= 45) AS accepted, count(*) FILTER (WHERE score >= 0.48 AND tilt <= 45) > 0 AS covered FROM candidates GROUP BY 1, 2, 3")
+PLAN = """v AS (SELECT plan_id, candidate_id AS view_id, format('{:s}_r{:02d}_c{:02d}', side, row, col) AS patch_id, side, CASE WHEN row = 0 THEN 'root' WHEN row = 7 THEN 'tip' WHEN col = 0 THEN 'leading_edge' WHEN col = 11 THEN 'trailing_edge' ELSE 'surface' END AS region,
+  distance, score + 0.42 AS projection, 1 - tilt / 100.0::DOUBLE AS visibility, col * 0.1::DOUBLE + candidate_id % 5 * 0.02 AS tx, row * 0.1::DOUBLE AS ty, candidate_id % 5 * 0.02::DOUBLE AS dx FROM candidates),
+twice AS (SELECT DISTINCT a.view_id FROM v a JOIN v b ON a.plan_id = b.plan_id AND a.side = b.side AND a.view_id <> b.view_id AND sqrt(pow(a.tx - b.tx, 2) + pow(a.ty - b.ty, 2) + pow(a.distance - b.distance, 2)) <= 0.015),
+checked AS (SELECT v.*, concat_ws(',', CASE WHEN abs(sqrt(dx * dx + distance * distance) - distance) > 0.0052 THEN 'distance' END, CASE WHEN distance / sqrt(dx * dx + distance * distance) < 0.97 THEN 'look' END,
+  CASE WHEN projection + 1e-12 < 0.9 THEN 'projection' END, CASE WHEN visibility + 1e-12 < 0.7 THEN 'visibility' END, CASE WHEN distance < 0.1 OR distance > 0.45 THEN 'bounds' END, CASE WHEN t.view_id IS NOT NULL THEN 'duplicate' END) AS reasons FROM v LEFT JOIN twice t USING (view_id))"""
+
+
+def inspected(spark, sf):
+    """Each candidate as a view of its patch; every fifth step looks past its patch's centre by up to 8 cm."""
+    c = A.candidates(spark, sf)
+    front = F.col("side") == "front"
+    region = F.when(F.col("row") == 0, "root").when(F.col("row") == 7, "tip").when(F.col("col") == 0, "leading_edge").when(F.col("col") == 11, "trailing_edge").otherwise("surface")
+    turn = [1.0, 0.0, 0.0, 0.0, F.when(front, -1.0).otherwise(1.0), 0.0, 0.0, 0.0, F.when(front, -1.0).otherwise(1.0)]
+    own = c.select(
+        "plan_id", F.col("candidate_id").alias("view_id"), C.patch_id(F.col("side"), F.col("row"), F.col("col")).alias("patch_id"), "side", region.alias("region"), "distance", (F.col("score") + 0.42).alias("projection"),
+        (1 - F.col("tilt") / 100).alias("visibility"), F.col("distance").alias("footprint_u"), (F.col("distance") / 2).alias("footprint_v"), *(F.lit(x).alias(n) if isinstance(x, float) else x.alias(n) for x, n in zip(turn, C.ROTATION, strict=True)),
+        (F.col("col") * 0.1 + F.col("candidate_id") % 5 * 0.02).alias("tx"), (F.col("row") * 0.1).alias("ty"), F.when(front, F.col("distance")).otherwise(-F.col("distance")).alias("tz"), (F.col("col") * 0.1).alias("cx"),
+    )
+    zero = F.lit(0.0)
+    patches = own.select("plan_id", "patch_id", "side", "region", "cx", F.col("ty").alias("cy"), zero.alias("cz"), zero.alias("mx"), zero.alias("my"), F.when(F.col("side") == "front", 1.0).otherwise(-1.0).alias("mz")).distinct()
+    limits = R.PlanLimits(0.3, 0.1, 0.45, 0.0052, 0.97, 0.9, 0.9, 0.7, 0.015, 1.0)
+    return R.inspect_plan(own.drop("side", "region", "cx"), patches, limits)
+
+
+@query("plan_inspection", A.CANDIDATES, PLAN, "SELECT plan_id, view_id, patch_id, side, region, reasons = '' AS accepted, reasons FROM checked")
 def _(spark, sf):
-    ok = (F.col("score") >= 0.48) & (F.col("tilt") <= 45)
-    n = F.sum(ok.cast("long"))
-    return A.candidates(spark, sf).groupBy("plan_id", "side", "row").agg(F.count(F.lit(1)).alias("n"), n.alias("accepted"), (n > 0).alias("covered"))
+    return inspected(spark, sf)[0].select("plan_id", "view_id", "patch_id", "side", "region", "accepted", "reasons")
 
 
-@query("final_gate_report", A.CANDIDATES, "SELECT plan_id, count(*) FILTER (WHERE score >= 0.48) AS complete, count(*) FILTER (WHERE side = 'front' AND score >= 0.48) AS front, min(score) >= 0.45 AS passed FROM candidates GROUP BY 1")
+@query("plan_regions", A.CANDIDATES, PLAN, "need AS (SELECT * FROM (SELECT DISTINCT plan_id FROM candidates), (VALUES ('front'), ('back')) s(side), (VALUES ('surface'), ('leading_edge'), ('trailing_edge'), ('root'), ('tip')) r(region)), got AS (SELECT plan_id, side, region, count(*) AS planned, count(*) FILTER (WHERE reasons = '') AS accepted FROM checked GROUP BY 1, 2, 3)",
+"SELECT plan_id, side, region, coalesce(planned, 0) AS planned, coalesce(accepted, 0) AS accepted, CASE WHEN planned IS NULL THEN 'no_view' WHEN accepted = 0 THEN 'no_accepted' END AS missing FROM need LEFT JOIN got USING (plan_id, side, region)")
+def _(spark, sf):
+    return inspected(spark, sf)[1]
+
+
+FINAL = """q AS (SELECT plan_id AS blade_id, format('{:s}_r{:02d}_c{:02d}', side, row, col) AS patch_id, any_value(side) AS side, CASE any_value(row) WHEN 0 THEN 'fin_root' WHEN 1 THEN 'fin_face' WHEN 2 THEN 'fin_free_edge' ELSE 'surface' END AS region, min(score) >= 0.4505 AS complete FROM candidates GROUP BY 1, 2),
+p AS (SELECT blade_id, count(*) AS required, count(*) FILTER (WHERE complete) AS complete FROM q GROUP BY 1),
+w AS (SELECT view_id % 10 AS blade_id, count(*) FILTER (WHERE tz > 0) AS views_front, count(*) FILTER (WHERE tz < 0) AS views_back FROM views GROUP BY 1),
+tri AS (SELECT DISTINCT plan_id AS blade_id, CASE WHEN candidate_id % 40 < 20 THEN 'front' ELSE 'back' END AS side, candidate_id // 10 % 60 AS k FROM candidates WHERE candidate_id // 10 % 60 % 7 <> plan_id % 7),
+tc AS (SELECT blade_id, count(*) FILTER (WHERE side = 'front') AS triangles_front, count(*) FILTER (WHERE side = 'back') AS triangles_back FROM tri GROUP BY 1),
+ed AS (SELECT blade_id, p, q, count(*) AS n FROM (SELECT blade_id, k AS p, k + 1 AS q FROM tri UNION ALL SELECT blade_id, k + 1, k + 2 FROM tri UNION ALL SELECT blade_id, k, k + 2 FROM tri) GROUP BY ALL),
+rim AS (SELECT blade_id, p, q FROM ed WHERE n = 1),
+step AS (SELECT blade_id, p AS a, q AS b FROM rim UNION ALL SELECT blade_id, q, p FROM rim),
+reach AS (SELECT DISTINCT blade_id, a AS node, a AS root FROM step UNION SELECT r.blade_id, s.b, r.root FROM reach r JOIN step s ON r.blade_id = s.blade_id AND r.node = s.a),
+lp AS (SELECT blade_id, count(DISTINCT root) AS boundary_loops FROM (SELECT blade_id, node, min(root) AS root FROM reach GROUP BY 1, 2) GROUP BY 1),
+ms AS (SELECT blade_id, count(*) FILTER (WHERE n = 1) AS boundary_edges, min(n) = 2 AND max(n) = 2 AS watertight FROM ed GROUP BY 1),
+fin AS (SELECT DISTINCT plan_id AS blade_id, side, plan_id % 3 > 0 AS two_faces FROM candidates WHERE plan_id % 4 > 0 OR side = 'back'),
+fc AS (SELECT blade_id, count(*) FILTER (WHERE side = 'front') AS fins_front, count(*) FILTER (WHERE side = 'back') AS fins_back, bool_or(NOT two_faces) AS single FROM fin GROUP BY 1),
+rq AS (SELECT blade_id, side, region, count(*) AS n, bool_and(complete) AS ok FROM q WHERE region <> 'surface' GROUP BY 1, 2, 3),
+need AS (SELECT * FROM (SELECT blade_id FROM p), (VALUES ('front', 0), ('back', 1)) s(side, so), (VALUES ('fin_face', 0), ('fin_root', 1), ('fin_free_edge', 2)) r(region, ro)),
+rr AS (SELECT blade_id, string_agg(CASE WHEN n IS NULL THEN 'missing_' || side || '_' || region WHEN NOT ok THEN 'incomplete_' || side || '_' || region END, ',' ORDER BY so, ro) AS said FROM need LEFT JOIN rq USING (blade_id, side, region) GROUP BY 1),
+j AS (SELECT p.*, coalesce(views_front, 0) AS views_front, coalesce(views_back, 0) AS views_back, coalesce(triangles_front, 0) AS triangles_front, coalesce(triangles_back, 0) AS triangles_back, coalesce(fins_front, 0) AS fins_front, coalesce(fins_back, 0) AS fins_back,
+  coalesce(boundary_edges, 0) AS boundary_edges, coalesce(boundary_loops, 0) AS boundary_loops, coalesce(watertight, false) AS watertight, coalesce(single, false) AS single, said
+  FROM p LEFT JOIN w USING (blade_id) LEFT JOIN tc USING (blade_id) LEFT JOIN lp USING (blade_id) LEFT JOIN ms USING (blade_id) LEFT JOIN fc USING (blade_id) LEFT JOIN rr USING (blade_id)),
+s AS (SELECT * EXCLUDE (single, said), concat_ws(',', CASE WHEN complete < required THEN 'patches' END, CASE WHEN views_front < 5 THEN 'views_front' END, CASE WHEN views_back < 5 THEN 'views_back' END, CASE WHEN triangles_front < 14 THEN 'triangles_front' END, CASE WHEN triangles_back < 14 THEN 'triangles_back' END,
+  CASE WHEN fins_front <> 1 THEN 'fins_front' WHEN single THEN 'faces_front' END, CASE WHEN fins_back <> 1 THEN 'fins_back' WHEN single THEN 'faces_back' END, said, CASE WHEN boundary_edges > 70 THEN 'boundary_edges' END, CASE WHEN boundary_loops > 6 THEN 'boundary_loops' END, CASE WHEN NOT watertight THEN 'watertight' END) AS violations FROM j)"""
+
+
+@query("final_gate_report", A.CANDIDATES, A.VIEWS, FINAL, "SELECT *, violations = '' AS passed FROM s")
 def _(spark, sf):
-    ok = F.col("score") >= 0.48
-    return A.candidates(spark, sf).groupBy("plan_id").agg(F.sum(ok.cast("long")).alias("complete"), F.sum((ok & (F.col("side") == "front")).cast("long")).alias("front"), (F.min("score") >= 0.45).alias("passed"))
+    """Plans as blades: patches are complete by score, strips of triangles have gaps, views look from both sides."""
+    c = A.candidates(spark, sf).withColumn("blade_id", F.col("plan_id"))
+    region = F.when(F.min("row") == 0, "fin_root").when(F.min("row") == 1, "fin_face").when(F.min("row") == 2, "fin_free_edge").otherwise("surface")
+    quality = c.groupBy("blade_id", C.patch_id(F.col("side"), F.col("row"), F.col("col")).alias("patch_id")).agg(F.min("side").alias("side"), region.alias("region"), (F.min("score") >= 0.4505).alias("complete"))
+    views = A.views(spark, sf).select((F.col("view_id") % 10).alias("blade_id"), F.when(F.col("tz") > 0, "front").otherwise("back").alias("side"))
+    k = F.floor(F.col("candidate_id") / 10) % 60
+    strip = c.select("blade_id", F.when(F.col("candidate_id") % 40 < 20, "front").otherwise("back").alias("side"), k.alias("a")).filter(F.col("a") % 7 != F.col("blade_id") % 7).distinct()
+    fins = c.filter((F.col("blade_id") % 4 > 0) | (F.col("side") == "back")).select("blade_id", "side", (F.col("blade_id") % 3 > 0).alias("two_faces")).distinct()
+    gates = R.FinalGates(5, 14, 70, 6, True, True, True)
+    return R.final_gate_report(quality.select("blade_id", "patch_id"), quality, views, strip.withColumns({"b": F.col("a") + 1, "c": F.col("a") + 2}), fins, gates)
 
 
 @query("candidate_progress", A.SAMPLES, "e AS (SELECT trace_id AS run_id, id % 11 AS candidate_id, us AS seq, kind AS status FROM samples)", "SELECT run_id, candidate_id, max_by(status, seq) AS status, max(seq) AS seq, any_value(f) AS first_seq, any_value(l) AS last_seq FROM e JOIN (SELECT run_id, min(seq) AS f, max(seq) AS l FROM e GROUP BY 1) USING (run_id) GROUP BY 1, 2")
