@@ -3,7 +3,7 @@
 SimHash deletion variants (see simhash) group most copies; each is verified against the first of its group. Fingerprints alone can't reach a bound on shingle sets without losing pairs, so
 prefixes finish the work: with all shingles in one fixed order, two sets as similar as asked share one among the first n - ceil(least * n) + 1
 of each. A text is indexed by those, a fifth of its shingles at a bound of 0.8, however large the corpus is. Shingles that many texts share come last in the order, by how common they
-are, so they seldom are in a prefix. Texts that share a prefix shingle, and whose lengths and places allow the bound, are compared by their whole sets.
+are, so they seldom are in a prefix. Texts that share a prefix shingle, and whose lengths, places and prefixes allow the bound, are compared by their whole sets.
 
 In a bucket of a shingle the texts meet its first ones; what is left meets the next ones, twice as many, as long as it has texts of two groups. So a family of copies costs its
 members, not its pairs, and no pair of different groups is left out.
@@ -12,11 +12,12 @@ members, not its pairs, and no pair of different groups is left out.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,33 +103,44 @@ def common_shingles(docs: DataFrame, size: int) -> DataFrame:
     return rows.groupBy("type").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
 
 
-def prefixes(docs: DataFrame, least: float, size: int, common: DataFrame) -> DataFrame:
-    """h, key, n, cap of docs (key, text): the prefix shingles of each text, how many shingles it has, and how many of them do not come before h."""
-    table = common.toArrow()
-    by = np.argsort(table["type"].to_numpy().view(np.uint64))
-    known = docs.sparkSession.sparkContext.broadcast((table["type"].to_numpy().view(np.uint64)[by], np.log2(table["n"].to_numpy()[by]).astype(np.uint8)))
+class Order:
+    """The order of shingles: by how common they are (in powers of two; 0: not known as common), then by their hash."""
+
+    def __init__(self, common: pa.Table):
+        types = common["type"].to_numpy().view(np.uint64)
+        by = np.argsort(types)
+        self.common, self.levels = types[by], np.log2(common["n"].to_numpy()[by]).astype(np.uint8)
+
+    def prefix(self, own: np.ndarray, least: float) -> np.ndarray:
+        """The first shingles of a sorted set: one of them at least is among those of any set as similar as that."""
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, own), len(self.common) - 1)
+            level = np.where(self.common[at] == own, self.levels[at], 0)
+            own = own[np.lexsort((own, level))] if level.any() else own
+        return own[: prefix_size(len(own), least)]
+
+
+def prefix_size(n: int, least: float) -> int:
+    return n - math.ceil(least * n - 1e-9) + 1
+
+
+def prefixes(docs: DataFrame, least: float, size: int, order: Broadcast) -> DataFrame:
+    """h, key, of (n << 32 | cap) of docs (key, text): the prefix shingles of each text, how many shingles it has, and how many of them do not come before h."""
 
     def made(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, (often, levels) = WordHashes(), known.value
+        hashes = WordHashes()
         for keys, texts in fresh(frames):
-            found, owner, caps, sizes = [], [], [], []
+            found, owner, ofs = [], [], []
             for key, text in zip(keys, texts, strict=True):
                 own = shingle_set(text, size, hashes)
-                n = len(own)
-                first = n - math.ceil(least * n - 1e-9) + 1
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, own), len(often) - 1)
-                    level = np.where(often[at] == own, levels[at], 0)
-                    own = own[np.lexsort((own, level))] if level.any() else own
-                found.append(own[:first])
-                owner.append(np.full(first, key))
-                caps.append(n - np.arange(first))
-                sizes.append(np.full(first, n))
+                found.append(order.value.prefix(own, least))
+                owner.append(np.full(len(found[-1]), key))
+                ofs.append((len(own) << 32) + len(own) - np.arange(len(found[-1])))
             if found:
-                h, key, n, cap = (np.concatenate(x) for x in (found, owner, sizes, caps))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key, pa.int64()), pa.array(n, pa.int32()), pa.array(cap, pa.int32())], ["h", "key", "n", "cap"])
+                h, key, of = (np.concatenate(x) for x in (found, owner, ofs))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key, pa.int64()), pa.array(of, pa.int64())], ["h", "key", "of"])
 
-    return docs.select("key", F.col("text").cast("binary")).mapInArrow(made, "h long, key long, n int, cap int")
+    return docs.select("key", F.col("text").cast("binary")).mapInArrow(made, "h long, key long, of long")
 
 
 def strong(least: float) -> Column:
@@ -161,26 +173,57 @@ def met(rows: DataFrame, heads: int, least: float) -> DataFrame:
     return rows.select(F.col("key").alias("a"), F.explode(out).alias("to")).select("a", "to.*")
 
 
-def shingle_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """key, shingles (binary: a set of 64-bit hashes in order) of the rows of docs (key, text) whose key is in needed, one for each key; texts stay where they are read."""
-    held = bit_filter(needed, "key")
+def chosen(docs: DataFrame, rows: DataFrame, made: Callable[[bytes, WordHashes], bytes], name: str) -> DataFrame:
+    """key, name (what made gives for its text) of the rows of docs (key, row, text) whose row is among rows.row; texts stay where they are read. A few other rows may come, too."""
+    held = bit_filter(rows, "row")
 
-    def made(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def worked(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for frame in frames:
-            frame = frame.filter(pa.array(passing(frame.column(0).to_numpy().view(np.uint64), held.value)))
+            frame = frame.filter(pa.array(passing(frame.column(1).to_numpy().view(np.uint64), held.value))).select([0, 2])
             for keys, texts in fresh([frame]):
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([shingle_set(t, size, hashes).tobytes() for t in texts], pa.binary())], ["key", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([made(t, hashes) for t in texts], pa.binary())], ["key", name])
 
-    rows = docs.select("key", F.col("text").cast("binary")).mapInArrow(made, "key long, shingles binary")
-    return rows.groupBy("key").agg(F.first("shingles").alias("shingles")).join(needed, "key", "left_semi")
+    return docs.select("key", "row", F.col("text").cast("binary")).mapInArrow(worked, f"key long, {name} binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of least or more. The set of a b in many pairs is dealt out with them."""
+def sketches(docs: DataFrame, rows: DataFrame, least: float, size: int, order: Broadcast) -> DataFrame:
+    """key, sketch: the number of a text's shingles (4 bytes), then 16 bits of each of its prefix (see chosen)."""
+
+    def made(text: bytes, hashes: WordHashes) -> bytes:
+        own = shingle_set(text, size, hashes)
+        return len(own).to_bytes(4, "little") + order.value.prefix(own, least).astype(np.uint16).tobytes()
+
+    return chosen(docs, rows, made, "sketch")
+
+
+def beside(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """a, b, x, y: pairs with what texts (key, name) have for both. What a b in many pairs has is dealt out with them."""
     parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MOST_PAIRS).alias("parts"))
-    right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")).join(parts, "b").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    left = pairs.join(parts, "b").join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).drop("parts")
+    right = texts.select(F.col("key").alias("b"), F.col(name).alias("y")).join(parts, "b").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    left = pairs.join(parts, "b").join(texts.select(F.col("key").alias("a"), F.col(name).alias("x")), "a").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).drop("parts")
+    return left.join(right.drop("parts"), ["b", "part"]).select("a", "b", "x", "y")
+
+
+def possible(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sketches allow the similarity: what their prefixes share, and all the rest of one, would be enough. 16 bits can only make prefixes more alike, so no pair is lost."""
+
+    def compared(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in batches(frames):
+            good = []
+            for x, y in zip(frame.column(2).to_pylist(), frame.column(3).to_pylist(), strict=True):
+                n, m = int.from_bytes(x[:4], "little"), int.from_bytes(y[:4], "little")
+                p, q = np.frombuffer(x, np.uint16, offset=4), np.frombuffer(y, np.uint16, offset=4)
+                shared = int(max(np.isin(p, q).sum(), np.isin(q, p).sum()))
+                rest = max(n - prefix_size(n, least), m - prefix_size(m, least))
+                good.append((shared + rest) * (1 + least) + 1e-6 >= least * (n + m))
+            yield frame.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    return beside(pairs, texts, "sketch").mapInArrow(compared, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets (key, shingles: 64-bit hashes in order) have a Jaccard similarity of least or more."""
 
     def compared(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in batches(frames):
@@ -191,7 +234,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 good.append(common + 1e-9 >= least * (len(x) + len(y) - common))
             yield frame.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return left.join(right.drop("parts"), ["b", "part"]).select("a", "b", "x", "y").mapInArrow(compared, "a long, b long")
+    return beside(pairs, sets, "shingles").mapInArrow(compared, "a long, b long").distinct()
 
 
 def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -202,24 +245,33 @@ def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def near_links(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
-    """node, root: the groups of near copies among the texts of docs (key: 64-bit hash of the text, text), but for texts alone in theirs.
+    """node, root: the groups of near copies among the texts of docs (key: 64-bit hash of the text, row: one of the row, text), but for texts alone in theirs.
 
     Texts of one key are one. A group is what links of pairs of at least the similarity connect; all such pairs are found. Empty docs give no rows.
     """
-    print_pairs = simhash.near_duplicates(docs.select(F.col("key").alias("doc_id"), "text"), with_text=False).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    print_pairs = stored(print_pairs.filter("a <> b").distinct(), "fingerprint-pairs")
+    first = stored(docs.groupBy("key").agg(F.min("row").alias("row")), "near-first-rows")
+    rows_of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(first, "key")
+    sets_of = lambda pairs: stored(chosen(docs, stored(rows_of(pairs), "near-keys"), lambda t, hashes: shingle_set(t, size, hashes).tobytes(), "shingles"), "shingle-sets")
+    prints = simhash.near_duplicates(docs.select(F.col("key").alias("doc_id"), "text"), with_text=False).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    prints = stored(prints.filter("a <> b").distinct(), "fingerprint-pairs")
     common = frequent(stored(common_shingles(docs, size), "common-shingles"), MOST_COMMON)
-    rows = prefixes(docs, least, size, common).groupBy("h", "key").agg(F.max("n").alias("n"), F.max("cap").alias("cap"))
-    heads = HEADS
-    table = stored(met(rows, heads, least), "near-met")
-    pairs = stored(table.filter("b IS NOT NULL").select("a", "b").distinct(), "near-candidates")
-    rest = table.filter("h IS NOT NULL").select("h", F.col("a").alias("key"), "n", "cap")
-    ends = print_pairs.unionByName(pairs).select(F.explode(F.array("a", "b")).alias("key")).unionByName(rest.select("key"))
-    sets = stored(shingle_sets(docs, stored(ends.distinct(), "near-keys"), size), "shingle-sets")
-    groups = components(stored(verified(print_pairs, sets, least), "near-links"))
+    order = docs.sparkSession.sparkContext.broadcast(Order(common.toArrow()))
+    rows = prefixes(docs, least, size, order).repartition("h").groupBy("h", "key").agg(F.max("of").alias("of"))
+    rest = rows.select("h", "key", F.shiftright("of", 32).cast("int").alias("n"), F.col("of").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("cap"))
+    heads, groups, drawn = HEADS, None, None
     while True:
-        links = stored(verified(stored(apart(pairs, groups), "near-apart"), sets, least), "near-links")
-        groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+        table = stored(met(rest, heads, least), "near-met")
+        pairs = stored(table.filter("b IS NOT NULL").select("a", "b").distinct(), "near-candidates")
+        rest = table.filter("h IS NOT NULL").select("h", F.col("a").alias("key"), "n", "cap")
+        if groups is None:
+            keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(rest.select("key")).distinct()
+            drawn = stored(sketches(docs, stored(keys.join(first, "key"), "near-keys"), least, size, order), "near-sketches")
+        else:
+            pairs = stored(apart(pairs, groups), "near-apart")
+        pairs = stored(possible(pairs, drawn, least), "near-possible")
+        pairs = pairs if groups is not None else stored(pairs.unionByName(prints).distinct(), "near-pairs")
+        links = stored(verified(pairs, sets_of(pairs), least), "near-links")
+        groups = components(links if groups is None else groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
         named = rest.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         bucket = Window.partitionBy("h")
         open_ = named.withColumns({"__low": F.min("root").over(bucket), "__high": F.max("root").over(bucket)}).filter("__low <> __high")
@@ -227,9 +279,6 @@ def near_links(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
         if rest.isEmpty():
             return groups
         heads *= 2
-        table = stored(met(rest, heads, least), "near-met")
-        pairs = stored(table.filter("b IS NOT NULL").select("a", "b").distinct(), "near-candidates")
-        rest = table.filter("h IS NOT NULL").select("h", F.col("a").alias("key"), "n", "cap")
 
 
 def keep_one(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
@@ -242,7 +291,7 @@ def keep_one(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
     """
     of, text = F.xxhash64("doc_id", "text"), F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select("doc_id", of.alias("of"), F.xxhash64(text).alias("key"), text.alias("text"))
-    groups = near_links(keyed.select("key", "text"), least, size).select(F.col("node").alias("key"), "root")
+    groups = near_links(keyed.select("key", F.col("of").alias("row"), "text"), least, size).select(F.col("node").alias("key"), "root")
     rows = stored(keyed.groupBy("key", "doc_id", "of").agg(F.count(F.lit(1)).alias("n")), "near-rows")
     firsts = rows.groupBy("key").agg(F.min(F.struct("doc_id", "of", "n")).alias("m")).join(groups, "key", "left")
     stay = firsts.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("m").alias("m"))
