@@ -124,22 +124,23 @@ def states(spark, sf):
     return p.groupBy((F.col("view_id") % 4).alias("map_id"), *(C.voxel(F.col(a), 0.125).alias(f"i{a}") for a in "xyz")).agg(F.when(n > 8, "OCCUPIED").when(n > 2, "FREE").otherwise("UNKNOWN").alias("state"))
 
 
-@query("sphere_query", A.VIEWS, A.POINTS, SPHERES, STATES, """j AS (SELECT sphere_id, coalesce(state, 'UNKNOWN') AS state FROM sv LEFT JOIN states s ON s.map_id = 0 AND s.ix = sv.ix AND s.iy = sv.iy AND s.iz = sv.iz)""",
+@query("sphere_query", A.VIEWS, A.POINTS, SPHERES, STATES, """j AS (SELECT sphere_id, coalesce(state, 'UNKNOWN') AS state FROM sv LEFT JOIN states s ON s.map_id = sphere_id % 4 AND s.ix = sv.ix AND s.iy = sv.iy AND s.iz = sv.iz)""",
 """SELECT sphere_id, count(*) AS queried, count(*) FILTER (WHERE state = 'OCCUPIED') AS occupied, count(*) FILTER (WHERE state = 'UNKNOWN') AS unknown, count(*) FILTER (WHERE state = 'FREE') AS free,
 count(*) FILTER (WHERE state <> 'FREE') > 0 AS blocked FROM j GROUP BY 1""")
 def _(spark, sf):
     sv = J.sphere_voxels(spheres(spark, sf), 0.125)
-    j = sv.join(states(spark, sf).filter("map_id = 0"), ["ix", "iy", "iz"], "left").withColumn("state", F.coalesce("state", F.lit("UNKNOWN")))
+    sv = sv.withColumn("map_id", F.col("sphere_id") % 4)  # each sphere asks one of the four maps
+    j = sv.join(states(spark, sf), ["map_id", "ix", "iy", "iz"], "left").withColumn("state", F.coalesce("state", F.lit("UNKNOWN")))
     n = lambda s: F.sum((F.col("state") == s).cast("long"))
     return j.groupBy("sphere_id").agg(F.count(F.lit(1)).alias("queried"), n("OCCUPIED").alias("occupied"), n("UNKNOWN").alias("unknown"), n("FREE").alias("free"), (n("FREE") < F.count(F.lit(1))).alias("blocked"))
 
 
-BOXES = "boxes AS (SELECT s_suppkey AS box_id, (s_suppkey % 4 - 2) * 0.125::DOUBLE AS x0, (s_suppkey % 4) * 0.125::DOUBLE AS x1, -0.25::DOUBLE AS y0, (s_suppkey % 3) * 0.125::DOUBLE AS y1, -0.125::DOUBLE AS z0, 0.25::DOUBLE AS z1 FROM supplier WHERE s_suppkey < 12)"
+BOXES = "boxes AS (SELECT s_suppkey AS box_id, (s_suppkey % 4 - 2) * 0.125::DOUBLE AS x0, (s_suppkey % 4) * 0.125::DOUBLE AS x1, -0.25::DOUBLE AS y0, (s_suppkey % 3) * 0.125::DOUBLE AS y1, -0.125::DOUBLE AS z0, 0.25::DOUBLE AS z1 FROM supplier)"
 
 
 def boxes(spark, sf):
     k = F.col("s_suppkey")
-    return A.table(spark, sf, "supplier").filter(k < 12).select(
+    return A.table(spark, sf, "supplier").select(
         k.alias("box_id"), ((k % 4 - 2) * 0.125).alias("x0"), (k % 4 * 0.125).alias("x1"), F.lit(-0.25).alias("y0"), (k % 3 * 0.125).alias("y1"), F.lit(-0.125).alias("z0"), F.lit(0.25).alias("z1")
     )
 
