@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -24,48 +25,92 @@ def _step(points: DataFrame, i: int, cell) -> DataFrame:
     return points.withColumn(f"__s{i}", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn(f"__c{i}", cell + F.col(f"__s{i}")).drop(f"__s{i}")
 
 
-def radius_join(a: DataFrame, b: DataFrame, r: float, a_id: str, b_id: str, keys: Sequence[str] = (), axes: Sequence[str] = "xyz") -> DataFrame:
-    """a_id, b_id, d2 and keys for all pairs within r. Rows of a go to the 3**n grid cells around theirs and meet those of b by equality."""
-    left = _cells(a.select(*keys, F.col(a_id).alias("__a"), *(F.col(x).alias(f"__a{x}") for x in axes), *axes), r, axes, around=True).drop(*axes)
-    right = _cells(b.select(*keys, F.col(b_id).alias("__b"), *axes), r, axes, around=False)
+def radius_join(a: DataFrame, b: DataFrame, r: float, a_id: str, b_id: str, keys: Sequence[str] = (), axes: Sequence[str] = "xyz", keep: Sequence[str] = ()) -> DataFrame:
+    """a_id, b_id, d2 and keys for all pairs within r, with columns keep of both sides as a_* and b_*.
+
+    Rows of a go to the 3**n grid cells around theirs and meet those of b by equality; both sides are sorted and never broadcast, as the size of a compressed file tells little of its rows.
+    """
+    left = _cells(a.select(*keys, F.col(a_id).alias("__a"), *(F.col(x).alias(f"__a{x}") for x in axes), *axes, *(F.col(c).alias(f"a_{c}") for c in keep)), r, axes, around=True).drop(*axes)
+    right = _cells(b.select(*keys, F.col(b_id).alias("__b"), *axes, *(F.col(c).alias(f"b_{c}") for c in keep)), r, axes, around=False)
     cells = [f"__c{i}" for i in range(len(axes))]
-    joined = left.join(right, [*keys, *cells])
+    joined = left.join(right.hint("merge"), [*keys, *cells])
     gap = [F.col(x) - F.col(f"__a{x}") for x in axes]
     joined = joined.withColumn("d2", C.dot(gap, gap)).filter(F.col("d2") <= r * r)
     same = a_id == b_id
-    return joined.select(*keys, F.col("__a").alias(f"{a_id}_a" if same else a_id), F.col("__b").alias(f"{b_id}_b" if same else b_id), "d2")
+    kept = [f"{s}_{c}" for s in "ab" for c in keep]
+    return joined.select(*keys, F.col("__a").alias(f"{a_id}_a" if same else a_id), F.col("__b").alias(f"{b_id}_b" if same else b_id), "d2", *kept)
 
 
-def nearest_neighbor(a: DataFrame, b: DataFrame, r: float, a_id: str, b_id: str, keys: Sequence[str] = (), axes: Sequence[str] = "xyz") -> DataFrame:
-    """For each row of a the nearest row of b within r, of equals the smallest id; null where there is none."""
-    near = radius_join(a.withColumnRenamed(a_id, "__q"), b.withColumnRenamed(b_id, "__r"), r, "__q", "__r", keys, axes)
-    best = near.groupBy(*keys, "__q").agg(F.min(F.struct("d2", "__r")).alias("m")).select(*keys, F.col("__q").alias(a_id), F.col("m.__r").alias(b_id if b_id != a_id else f"{b_id}_b"), F.sqrt("m.d2").alias("distance"))
-    return a.select(*keys, a_id).join(best, [*keys, a_id], "left")
+def start_radius(points: DataFrame, r: float, keys: Sequence[str] = (), axes: Sequence[str] = "xyz", most: float = 8.0) -> float:
+    """r, halved until the grid cell of a point holds `most` points or so. The driver gets a number for each try: two or three as a rule, 20 at most."""
+    where = lambda size: [*keys, *(F.floor(F.col(a) / size).cast("long").alias(f"__c{i}") for i, a in enumerate(axes))]
+    for _ in range(20):
+        n = F.col("count").cast("double")
+        met = points.groupBy(*where(r)).count().agg(F.sum(n * n) / F.sum(n)).first()[0] or 0.0
+        if met <= most:
+            break
+        r /= 2 ** max(1, math.ceil(math.log(met / most, 2 ** len(axes))))
+    return r
+
+
+def closest(a: DataFrame, b: DataFrame, r: float, a_id: str, value: str, keys: Sequence[str] = (), axes: Sequence[str] = "xyz", start: float | None = None) -> DataFrame:
+    """keys, a_id, d2 and value of the row of b nearest to each row of a within r, of equals the smallest value; rows of a without one are left out.
+
+    Rows of b at one place are one. Rows of a look around themselves from start on (by default a radius that meets few rows), and those that found none look again
+    twice as far, to r at last: a row's work follows the rows around its nearest one, not all within r. Each round is stored.
+    """
+    keys = list(keys)
+    places = stored(b.groupBy(*keys, *axes).agg(F.min(value).alias("__v")), "places")
+    radius = start_radius(places, r, keys, axes) if start is None else min(start, r)
+    todo, out = a.select(*keys, a_id, *axes), None
+    while True:
+        near = radius_join(todo, places, radius, a_id, "__v", keys, axes)
+        found = near.groupBy(*keys, a_id).agg(F.min(F.struct("d2", "__v")).alias("m")).select(*keys, a_id, "m.d2", F.col("m.__v").alias(value))
+        if radius < r:
+            found = stored(found, "nearest")
+        out = found if out is None else out.unionByName(found)
+        if radius >= r:
+            return out
+        todo = stored(todo.join(found.select(*keys, a_id).hint("merge"), [*keys, a_id], "left_anti"), "nearest-todo")
+        if todo.isEmpty():
+            return out
+        radius = min(2 * radius, r)
+
+
+def nearest_neighbor(a: DataFrame, b: DataFrame, r: float, a_id: str, b_id: str, keys: Sequence[str] = (), axes: Sequence[str] = "xyz", start: float | None = None) -> DataFrame:
+    """For each row of a the nearest row of b within r, of equals the smallest id; null where there is none. start: see closest."""
+    best = closest(a.withColumnRenamed(a_id, "__q"), b.withColumnRenamed(b_id, "__r"), r, "__q", "__r", keys, axes, start)
+    best = best.select(*keys, F.col("__q").alias(a_id), F.col("__r").alias(b_id if b_id != a_id else f"{b_id}_b"), F.sqrt("d2").alias("distance"))
+    return a.select(*keys, a_id).join(best.hint("merge"), [*keys, a_id], "left")
 
 
 def knn(points: DataFrame, k: int, r: float, point_id: str, keys: Sequence[str] = (), axes: Sequence[str] = "xyz") -> DataFrame:
     """point_id, neighbor_id, d2, rank: the k nearest others of each point, or all where its key has no more; ties go to the smaller id.
 
-    Points that have not found theirs within r are tried again with twice the radius (they alone) until it spans all points. Each round is stored.
+    Points look around themselves from r on, or less where r meets many. Those that have not found theirs are tried again with twice the radius (they alone) until
+    it spans all points. Of points at one place only the k + 1 of the smallest ids can be neighbours and are met. Each round is stored.
     """
     p = points.select(*keys, F.col(point_id).alias("point_id"), *axes)
     size = p.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("most"))
     edges = p.agg(*(F.max(a) - F.min(a) for a in axes)).first()
     extent = sum((e or 0.0) ** 2 for e in edges) ** 0.5
     todo = p.join(size, list(keys)) if keys else p.crossJoin(F.broadcast(size))
+    first = Window.partitionBy(*keys, *axes).orderBy("point_id")
+    met = stored(p.withColumn("__nth", F.row_number().over(first)).filter(F.col("__nth") <= k + 1).drop("__nth").withColumnRenamed("point_id", "neighbor_id"), "neighbours-met")
+    r = start_radius(met, r, keys, axes, 2 * (k + 1))
     out = None
     while out is None or not todo.isEmpty():
-        near = radius_join(todo, p.withColumnRenamed("point_id", "neighbor_id"), r, "point_id", "neighbor_id", keys, axes).filter("point_id <> neighbor_id")
+        near = radius_join(todo, met, r, "point_id", "neighbor_id", keys, axes).filter("point_id <> neighbor_id")
         w = Window.partitionBy(*keys, "point_id")
         found = near.withColumn("rank", F.row_number().over(w.orderBy("d2", "neighbor_id"))).filter(F.col("rank") <= k)
         found = stored(found.withColumn("n", F.count(F.lit(1)).over(w)), "neighbours")
-        whole = found.select(*keys, "point_id", "n").distinct().join(todo.select(*keys, "point_id", "most"), [*keys, "point_id"])
+        whole = found.select(*keys, "point_id", "n").distinct().join(todo.select(*keys, "point_id", "most").hint("merge"), [*keys, "point_id"])
         whole = whole.filter(F.col("n") >= F.least(F.lit(k), F.col("most"))) if r < extent else whole
-        got = found.join(whole.select(*keys, "point_id"), [*keys, "point_id"], "left_semi").drop("n")
+        got = found.join(whole.select(*keys, "point_id").hint("merge"), [*keys, "point_id"], "left_semi").drop("n")
         out = got if out is None else out.unionByName(got)
         if r >= extent:
             break
-        todo = stored(todo.filter("most > 0").join(whole.select(*keys, "point_id"), [*keys, "point_id"], "left_anti"), "neighbours-todo")
+        todo = stored(todo.filter("most > 0").join(whole.select(*keys, "point_id").hint("merge"), [*keys, "point_id"], "left_anti"), "neighbours-todo")
         r *= 2
     return out
 

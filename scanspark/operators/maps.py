@@ -110,12 +110,10 @@ def patch_completion(ledger: DataFrame, rows: int, cols: int, bins: int, least:
 
 def surface_evidence(samples: DataFrame, observations: DataFrame, r: float) -> DataFrame:
     """For each patch sample the smallest distance to an observed point within r and that observation's cosine; the first wins among equals."""
-    from scanspark.operators.joins import radius_join
+    from scanspark.operators.joins import closest
 
-    near = radius_join(samples, observations, r, "sample_id", "point_id", ["side"])
-    j = near.join(observations.select("point_id", "seq", "cosine"), "point_id")
-    best = F.min(F.struct("d2", "seq", "point_id", "cosine")).alias("m")
-    got = j.groupBy("side", "sample_id").agg(best).select("side", "sample_id", F.sqrt("m.d2").alias("distance"), F.col("m.cosine").alias("cosine"))
+    seen = observations.select("side", *"xyz", F.struct("seq", "point_id", "cosine").alias("__seen"))
+    got = closest(samples, seen, r, "sample_id", "__seen", ["side"]).select("side", "sample_id", F.sqrt("d2").alias("distance"), F.col("__seen.cosine").alias("cosine")).hint("merge")
     return samples.select("side", "sample_id", "patch_id").join(got, ["side", "sample_id"], "left")
 
 

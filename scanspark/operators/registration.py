@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from scanspark.functions import columns as C
 from scanspark.operators.geometry import estimate_normals
-from scanspark.operators.joins import nearest_neighbor
+from scanspark.operators.joins import nearest_neighbor, start_radius
 from scanspark.operators.pixels import voxel_centroids
 from scanspark.sources.scratch import stored
 
@@ -42,13 +42,13 @@ class Registration:
     worse: float = 1.01
 
 
-def paired(source: DataFrame, target: DataFrame, state: DataFrame, radius: float, keys: Sequence[str]) -> DataFrame:
+def paired(source: DataFrame, target: DataFrame, state: DataFrame, radius: float, keys: Sequence[str], start: float | None = None) -> DataFrame:
     """keys, point_id, p* (source points moved by their key's pose), n* and r (how far the nearest target's plane lies along its normal) of pairs within radius."""
     keys = list(keys)
     moved = source.select(*keys, "point_id", *"xyz").join(state.select(*keys, *C.POSE), keys)
     moved = moved.select(*keys, "point_id", *(c.alias(a) for a, c in zip("xyz", C.apply_pose(*C.pose(), [F.col(a) for a in "xyz"]), strict=True)))
     moved = stored(moved, "moved-points")
-    near = nearest_neighbor(moved, target, radius, "point_id", "target_id", keys).filter("target_id IS NOT NULL").drop("distance")
+    near = nearest_neighbor(moved, target, radius, "point_id", "target_id", keys, start=start).filter("target_id IS NOT NULL").drop("distance")
     to = target.select(*keys, "target_id", *(F.col(a).alias(f"q{a}") for a in "xyz"), "nx", "ny", "nz")
     at = moved.select(*keys, "point_id", *(F.col(a).alias(f"p{a}") for a in "xyz"))
     out = near.join(at, [*keys, "point_id"]).join(to, [*keys, "target_id"])
@@ -103,9 +103,10 @@ def register(source: DataFrame, target: DataFrame, keys: Sequence[str], rules: R
     state = source.select(*keys).distinct().select(*keys, *same, none.alias("before"), F.lit(0).cast("long").alias("pairs"), F.lit(0).alias("passes"), F.lit(None).cast("string").alias("reason"), F.lit(True).alias("open"))
     state = stored(state, "registration")
     names = state.columns
+    start = start_radius(target, rules.radius, keys)
     for _ in range(rules.passes):
         still_open = state.filter("open")
-        pairs = stored(paired(source, target, still_open, rules.radius, keys), "pairs")
+        pairs = stored(paired(source, target, still_open, rules.radius, keys, start), "pairs")
         fit = fit_of(pairs, keys)
         enough = F.coalesce("n", F.lit(0)) >= rules.least
         seen = still_open.join(fit, keys, "left").withColumns({"pairs": F.coalesce("n", F.lit(0)).cast("long"), "before": F.when(enough, F.coalesce("before", "rmse")).otherwise(F.col("before"))})
@@ -129,7 +130,7 @@ def register(source: DataFrame, target: DataFrame, keys: Sequence[str], rules: R
         if state.filter("open").isEmpty():
             break
     tried = state.filter("reason IS NULL")
-    after = fit_of(paired(source, target, tried, rules.radius, keys), keys).select(*keys, "n", F.col("rmse").alias("after"))
+    after = fit_of(paired(source, target, tried, rules.radius, keys, start), keys).select(*keys, "n", F.col("rmse").alias("after"))
     out = state.join(after, keys, "left")
     r, t = C.pose()
     last = F.when(F.col("reason").isNull(), F.coalesce("n", F.lit(0))).otherwise(F.col("pairs"))
