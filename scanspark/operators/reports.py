@@ -66,12 +66,17 @@ def inspect_plan(views: DataFrame, patches: DataFrame, limits: PlanLimits, plan:
     for c in square:
         orthonormal = orthonormal & c
     feet = [F.col(f"footprint_{a}") for a in "uv"]
+    # Views in one pose are one place, so that pairs are of places and no table of views is broadcast.
+    pose = [*"xyz", *C.ROTATION]
     own = stored(rows.filter("__there").select(plan, "view_id", *(F.col(c).alias(a) for c, a in zip(C.TRANSLATION, "xyz", strict=True)), *C.ROTATION), "plan-poses")
-    near = radius_join(own, own, limits.duplicate_m, "view_id", "view_id", [plan]).filter("view_id_a < view_id_b")
-    turn = lambda s: own.select(plan, F.col("view_id").alias(f"view_id_{s}"), *(F.col(c).alias(f"{s}_{c}") for c in C.ROTATION))
+    places = own.groupBy(plan, *pose).agg(F.min("view_id").alias("place"), (F.min("view_id") < F.max("view_id")).alias("many"))
+    places = stored(places, "plan-places")
+    near = radius_join(places, places, limits.duplicate_m, "place", "place", [plan], keep=[*C.ROTATION, "many"]).filter("place_a < place_b OR (place_a = place_b AND a_many)")
     trace = sum((F.col(f"a_{c}") * F.col(f"b_{c}") for c in C.ROTATION[1:]), F.col("a_r00") * F.col("b_r00"))
-    near = near.join(turn("a"), [plan, "view_id_a"]).join(turn("b"), [plan, "view_id_b"]).filter(C.angle_deg((trace - 1) / 2) <= limits.duplicate_deg)
-    twice = near.select(plan, F.explode(F.array("view_id_a", "view_id_b")).alias("view_id")).distinct().withColumn("__twice", F.lit(True))
+    near = near.filter(C.angle_deg((trace - 1) / 2) <= limits.duplicate_deg)
+    near = near.select(plan, F.explode(F.array("place_a", "place_b")).alias("place")).distinct()
+    twice = places.join(near.hint("merge"), [plan, "place"], "left_semi")
+    twice = own.join(twice.hint("merge"), [plan, *pose], "left_semi").select(plan, "view_id").distinct().withColumn("__twice", F.lit(True)).hint("merge")
     rows = rows.join(twice, [plan, "view_id"], "left")
     checks = [
         ("unknown_patch", F.col("__known").isNotNull()),
