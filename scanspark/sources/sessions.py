@@ -145,19 +145,22 @@ def export_overlay(points: DataFrame, path: str, label: str) -> None:
 def write_depth_metrics(errors: DataFrame, metrics: DataFrame, path: str) -> DataFrame:
     """Keeps views' error pixels (errors: view_id, ..) and their metrics row (view_id, ..) under path, and returns the metrics rows of views already there (refused).
 
-    A view's pixels are written before its metrics row and replace what a broken run left, so a view is there whole or not at all.
+    Each call is a batch: its pixels go to errors/batch=<number>, sorted by view, and are written before its metrics rows, which hold the number. A batch without metrics rows
+    is what a broken run left; the next call takes its number and replaces it, so a view is there whole or not at all. There is one writer at a time.
     """
     spark = errors.sparkSession
     try:
-        there = spark.read.schema(metrics.schema).parquet(f"{path}/metrics").select("view_id").distinct()
+        there = spark.read.schema(metrics.select("view_id", F.lit(0).cast("long").alias("batch")).schema).parquet(f"{path}/metrics")
+        there = stored(there, "views-there")
+        batch = there.agg(F.coalesce(F.max("batch") + 1, F.lit(0))).first()[0]
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        there = None
-    new = metrics.select("view_id").distinct() if there is None else metrics.select("view_id").distinct().join(there, "view_id", "left_anti")
-    pixels = errors.join(stored(new, "views-new"), "view_id", "left_semi")
-    pixels.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("view_id").parquet(f"{path}/errors")
-    return append_new(metrics, f"{path}/metrics", ["view_id"])
+        there, batch = None, 0
+    new = metrics.select("view_id").distinct() if there is None else metrics.select("view_id").distinct().join(there.hint("merge"), "view_id", "left_anti")
+    pixels = errors.join(stored(new, "views-new").hint("shuffle_hash"), "view_id", "left_semi").sortWithinPartitions("view_id")
+    pixels.write.mode("overwrite").parquet(f"{path}/errors/batch={batch}")
+    return append_new(metrics.withColumn("batch", F.lit(batch).cast("long")), f"{path}/metrics", ["view_id"]).drop("batch")
 
 
 def export_metrics(metrics: DataFrame, path: str, lengths: dict[str, str], shares: list[str]) -> None:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from scanspark.functions import columns as C
-from scanspark.operators import joins, maps, reports
+from scanspark.operators import geometry, joins, maps, ranks, reports, surface
+from scanspark.sources import sessions
 
 PLACE = "k long, i long, x double, y double, z double"
 
@@ -70,3 +76,18 @@ def test_views_in_one_pose_are_one_place(spark, monkeypatch):
     rows, _ = reports.inspect_plan(spark.createDataFrame(views, schema), patches, reports.PlanLimits(0.3))
     assert met == [2]
     assert {r.view_id for r in rows.filter("reasons LIKE '%duplicate%'").collect()} == set(range(300))
+
+
+def test_pixels_of_views_are_kept_by_batch(spark, tmp_path, monkeypatch):
+    """300 views are one folder, and what a broken run left is replaced."""
+    path = str(tmp_path / "out")
+    errors = spark.range(900).select((F.col("id") % 300).alias("view_id"), F.col("id").alias("u"), F.lit(0.5).alias("err"))
+    metrics = errors.groupBy("view_id").agg(F.avg("err").alias("mean"))
+    with monkeypatch.context() as broken, pytest.raises(RuntimeError):
+        broken.setattr(sessions, "append_new", lambda *_: (_ for _ in ()).throw(RuntimeError("broken")))
+        sessions.write_depth_metrics(errors, metrics, path)
+    sessions.write_depth_metrics(errors.filter("view_id < 200"), metrics.filter("view_id < 200"), path)
+    assert sessions.write_depth_metrics(errors, metrics, path).count() == 200
+    assert sorted(d for d in os.listdir(f"{path}/errors") if "=" in d) == ["batch=0", "batch=1"]
+    got = spark.read.parquet(f"{path}/errors").groupBy("view_id").count().collect()
+    assert len(got) == 300 and {r["count"] for r in got} == {3}
