@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanspark.operators import ranks
+from scanspark.sources.scratch import stored
+
 
 def depth_metrics(pairs: DataFrame, thresholds: Sequence[float], *keys: str) -> DataFrame:
     """By key: pairs, signed mean and median, MAE, RMSE, exact p95 of the absolute error, and the share within each threshold. pairs: err."""
@@ -62,17 +65,17 @@ def gate(metrics: DataFrame, limits: dict[str, tuple[float | None, float | None]
 
 def nearest_rank(frame: DataFrame, keys: Sequence[str], value: str, q: float) -> DataFrame:
     """By key the value of rank ceil(q * n)."""
-    w = Window.partitionBy(*keys)
-    ranked = frame.select(*keys, value).filter(F.col(value).isNotNull()).withColumns({"__r": F.row_number().over(w.orderBy(value)), "__n": F.count(F.lit(1)).over(w)})
-    return ranked.filter(F.col("__r") == F.ceil(F.col("__n") * q)).select(*keys, F.col(value).alias(f"p{round(q * 100)}"))
+    return ranks.nearest_rank(frame, keys, value, q, f"p{round(q * 100)}")
 
 
 def trial_summary(frame: DataFrame, keys: Sequence[str], series: Sequence[str]) -> DataFrame:
     """By key and series: n, the median cut to a whole number, and the nearest-rank p95."""
     rows = frame.select(*keys, F.explode(F.array(*(F.struct(F.lit(s).alias("series"), F.col(s).cast("long").alias("value")) for s in series))).alias("s")).select(*keys, "s.*")
     k = [*keys, "series"]
-    out = rows.groupBy(*k).agg(F.count("value").alias("n"), F.floor(F.percentile("value", 0.5)).alias("p50"))
-    return out.join(nearest_rank(rows, k, "value", 0.95), k)
+    out = stored(rows.groupBy(*k).agg(F.count("value").alias("n")), "trials")
+    middle = ranks.percentile(rows, k, "value", 0.5, "p50").withColumn("p50", F.floor("p50"))
+    # A series without a value has no row, as it has no p95.
+    return out.join(middle, k).join(nearest_rank(rows, k, "value", 0.95), k)
 
 
 def hotspot_rank(summary: DataFrame, name: str, by: str = "p50") -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanspark.functions import columns as C
+from scanspark.operators.ranks import percentile
+from scanspark.sources.scratch import stored
 
 PIXEL = ["view_id", "v", "u"]
 
@@ -194,13 +196,15 @@ def smooth_depth_filter(pixels: DataFrame, radius: int, limit: float) -> DataFra
 
 def robust_range_filter(points: DataFrame, value: str, factor: float, floor: float, fraction: float) -> DataFrame:
     """Rows with value <= median + max(factor * 1.4826 * MAD, floor), by view; all of a view's if fewer than fraction would stay."""
-    w = Window.partitionBy("view_id")
-    middle = points.groupBy("view_id").agg(F.percentile(value, 0.5).alias("__median"))
-    out = points.join(middle, "view_id")
-    spread_ = out.groupBy("view_id").agg(F.percentile(F.abs(F.col(value) - F.col("__median")), 0.5).alias("__mad"))
-    out = out.join(spread_, "view_id").withColumn("__in", F.col(value) <= F.col("__median") + F.greatest(factor * 1.4826 * F.col("__mad"), F.lit(floor)))
-    out = out.withColumn("__share", F.avg(F.col("__in").cast("double")).over(w))
-    return out.filter(F.col("__in") | (F.col("__share") < fraction)).select(*points.columns)
+    # What is known of views is stored: a small table, so that a view's points are neither shuffled nor sorted.
+    middle = stored(percentile(points, ["view_id"], value, 0.5, "__median"), "medians")
+    off = points.select("view_id", F.col(value).alias("__v")).join(middle, "view_id").select("view_id", F.abs(F.col("__v") - F.col("__median")).alias("__off"))
+    limits = middle.join(percentile(off, ["view_id"], "__off", 0.5, "__mad"), "view_id")
+    limits = limits.select("view_id", (F.col("__median") + F.greatest(factor * 1.4826 * F.col("__mad"), F.lit(floor))).alias("__limit"))
+    limits = stored(limits, "limits")
+    inside = F.col(value) <= F.col("__limit")
+    shares = points.join(limits, "view_id").groupBy("view_id", "__limit").agg(F.avg(inside.cast("double")).alias("__share"))
+    return points.join(stored(shares, "shares"), "view_id").filter(inside | (F.col("__share") < fraction)).select(*points.columns)
 
 
 def voxel_centroids(points: DataFrame, size: float, *keys: str) -> DataFrame:

@@ -91,3 +91,19 @@ def test_pixels_of_views_are_kept_by_batch(spark, tmp_path, monkeypatch):
     assert sorted(d for d in os.listdir(f"{path}/errors") if "=" in d) == ["batch=0", "batch=1"]
     got = spark.read.parquet(f"{path}/errors").groupBy("view_id").count().collect()
     assert len(got) == 300 and {r["count"] for r in got} == {3}
+
+
+def test_ranks_are_exact_and_rank_few_values(spark):
+    """Ties, far values, nulls and a group of one row; of 40,000 values a hundredth at most is ranked."""
+    rows = spark.range(40_000).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 2 == 0, F.pow(F.xxhash64("id") / 1e18, 3)).otherwise(F.floor(F.col("id") / 9000) * 1.0).alias("v"))
+    rows = rows.unionByName(spark.createDataFrame([(2, 5.0), (2, None), (3, None)], "k long, v double")).cache()
+    for q in (0.0, 0.5, 0.95, 1.0):
+        want = {r.k: r.p for r in rows.groupBy("k").agg(F.percentile("v", q).alias("p")).collect() if r.p is not None}
+        assert {r.k: r.p for r in ranks.percentile(rows, ["k"], "v", q, "p").collect()} == pytest.approx(want)
+    kept, real = [], ranks.stored
+    try:
+        ranks.stored = lambda df, what: (kept.append(real(df, what)), kept[-1])[1]
+        ranks.nearest_rank(rows, ["k"], "v", 0.95, "p").collect()
+    finally:
+        ranks.stored = real
+    assert kept[-1].count() < 400
