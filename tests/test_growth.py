@@ -107,3 +107,16 @@ def test_ranks_are_exact_and_rank_few_values(spark):
     finally:
         ranks.stored = real
     assert kept[-1].count() < 400
+
+
+def test_pairs_of_a_key_are_work_for_many_tasks(spark):
+    same = [F.lit(1.0 if c in ("r00", "r11", "r22") else 0.0).alias(c) for c in C.POSE]
+    poses = spark.range(40).select(F.lit(1).alias("k"), F.col("id").alias("i"), *same)
+    sides = spark.range(40).select(F.lit(1).alias("k"), "id", (F.col("id") % 2 - 0.5).alias("off"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for pairs, n in ((joins.pose_pairs(poses, "k", "i"), 780), (joins.opposing_pairs(sides, ["k"], "off", "id"), 400)):
+            got = pairs.groupBy(F.spark_partition_id()).count().collect()
+            assert len(got) > 1 and sum(r["count"] for r in got) == n
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
