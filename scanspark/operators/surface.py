@@ -213,16 +213,22 @@ def pose_loop_metrics(poses: DataFrame, key: str) -> DataFrame:
 
 def pose_observability(poses: DataFrame, key: str, order: str) -> DataFrame:
     """By key: the largest rotation and translation between two poses, and axis diversity: the second over the first singular value of the axes of rotations over one degree."""
-    pairs = pose_pairs(poses, key, order)
-    a = poses.select(key, F.col(order).alias("a"), *(F.col(c).alias("a_" + c) for c in C.ROTATION))
-    b = poses.select(key, F.col(order).alias("b"), *(F.col(c).alias("b_" + c) for c in C.ROTATION))
-    j = pairs.join(a, [key, "a"]).join(b, [key, "b"])
+    same = F.row_number().over(Window.partitionBy(key).orderBy(*C.POSE))
+    places = stored(poses.filter(F.col(order).isNotNull()).groupBy(key, *C.POSE).agg(F.count(F.lit(1)).alias("n")).withColumn("place", same), "poses")
+    rest = pose_pairs(places, key, "place", ["n"]).withColumn("w", F.col("a_n") * F.col("b_n"))
+    # Poses that are alike meet one another, too: their turn is none, but for matrices that are no rotations.
+    r, shift = C.pose()
+    trace = sum((C.dot(row, row) for row in r[1:]), C.dot(r[0], r[0]))
+    again = places.filter("n > 1").select(key, F.col("place").alias("a"), F.col("place").alias("b"), C.norm([x - x for x in shift]).alias("translation"), C.angle_deg((trace - 1) / 2).alias("rotation_deg"), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("w"))
+    pairs = rest.select(*again.columns).unionByName(again)
+    turns = lambda s: places.select(key, F.col("place").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in C.ROTATION)).hint("merge")
+    j = pairs.join(turns("a"), [key, "a"]).join(turns("b"), [key, "b"])
     ra, rb = ([[F.col(f"{p}r{i}{k}") for k in range(3)] for i in range(3)] for p in ("a_", "b_"))
     turn = [[C.dot(ra[i], rb[k]) for k in range(3)] for i in range(3)]
     axis = C.normalised([turn[2][1] - turn[1][2], turn[0][2] - turn[2][0], turn[1][0] - turn[0][1]])
     j = j.withColumns({f"x{a}": F.when(F.col("rotation_deg") > 1, c) for a, c in zip("xyz", axis, strict=True)})
     both = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
-    g = j.groupBy(key).agg(F.max("rotation_deg").alias("most_deg"), F.max("translation").alias("most_m"), *(F.coalesce(F.sum(F.col(f"x{p}") * F.col(f"x{q}")), F.lit(0.0)).alias(f"g{p}{q}") for p, q in both))
+    g = j.groupBy(key).agg(F.max("rotation_deg").alias("most_deg"), F.max("translation").alias("most_m"), *(F.coalesce(F.sum(F.col("w") * F.col(f"x{p}") * F.col(f"x{q}")), F.lit(0.0)).alias(f"g{p}{q}") for p, q in both))
     e = principal_axes(*(F.col(f"g{p}{q}") for p, q in both))
     g = g.withColumn("e", e)
     ratio = F.sqrt(F.coalesce(F.try_divide(F.greatest(F.col("e.e1"), F.lit(0.0)), F.col("e.e0")), F.lit(0.0)))

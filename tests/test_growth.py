@@ -120,3 +120,14 @@ def test_pairs_of_a_key_are_work_for_many_tasks(spark):
             assert len(got) > 1 and sum(r["count"] for r in got) == n
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_poses_that_are_alike_are_weighted(spark, monkeypatch):
+    turns = [(1.0, 0.0), (0.0, 1.0), (-1.0, 0.0)]
+    poses = [(1, i, c, -s, 0.0, s, c, 0.0, 0.0, 0.0, 1.0, float(i % 2), 0.0, 0.0) for i in range(60) for c, s in [turns[i % 3]]]
+    frame = spark.createDataFrame(poses, "k long, i long, " + ", ".join(f"{c} double" for c in C.POSE))
+    met, real = [], joins.pose_pairs
+    monkeypatch.setattr(surface, "pose_pairs", lambda rows, *more: (met.append(rows.count()), real(rows, *more))[1])
+    got = surface.pose_observability(frame, "k", "i").first()
+    assert met == [6]
+    assert (got.most_deg, got.most_m, got.axis_diversity) == pytest.approx((180.0, 1.0, 0.0))
