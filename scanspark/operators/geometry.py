@@ -92,7 +92,9 @@ def distinct_rows(columns: list[np.ndarray]) -> list[np.ndarray]:
 RAY = [f"{p}{a}" for p in "se" for a in "xyz"]
 VOXELS = "map_id long, seq long, ix long, iy long, iz long"
 #: Voxels that a task holds before it drops repeated ones and passes them on.
-HELD = 2_000_000
+HELD = 500_000
+#: Rays whose voxels a task finds at once.
+RAYS = 2048
 
 
 def voxel_batches(frames: Iterable[pa.RecordBatch], size: float, margin: float) -> Iterator[pa.RecordBatch]:
@@ -103,7 +105,7 @@ def voxel_batches(frames: Iterable[pa.RecordBatch], size: float, margin: float)
         rows = distinct_rows([np.concatenate(c) for c in zip(*held, strict=True)])
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["map_id", "seq", "ix", "iy", "iz"])
 
-    for frame in frames:
+    for frame in (f.slice(k, RAYS) for f in frames for k in range(0, f.num_rows, RAYS)):
         map_id, seq, *ends = (c.to_numpy(zero_copy_only=False) for c in frame.columns)
         ray, voxel = free_voxels(np.stack(ends[:3], 1), np.stack(ends[3:], 1), size, margin)
         if len(ray):

@@ -131,3 +131,14 @@ def test_poses_that_are_alike_are_weighted(spark, monkeypatch):
     got = surface.pose_observability(frame, "k", "i").first()
     assert met == [6]
     assert (got.most_deg, got.most_m, got.axis_diversity) == pytest.approx((180.0, 1.0, 0.0))
+
+
+def test_voxels_of_rays_are_held_in_bounded_memory():
+    n = 20_000
+    ends = np.random.default_rng(5).uniform(20, 90, (3, n))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in (np.zeros(n, np.int64), np.zeros(n, np.int64), *np.zeros((3, n)), *ends)], ["map_id", "seq", *geometry.RAY])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in geometry.voxel_batches(iter([batch]), 2.0, 0.0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 10_000 and peak < 150e6, peak
