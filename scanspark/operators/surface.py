@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from scanspark.functions import columns as C
 from scanspark.operators.geometry import oriented_box, pixel_components, principal_axes
-from scanspark.operators.graph import components
-from scanspark.operators.joins import pose_pairs, radius_join
+from scanspark.operators.graph import radius_components
+from scanspark.operators.joins import pose_pairs
 from scanspark.operators.pixels import voxel_centroids
 from scanspark.sources.scratch import stored
 
@@ -76,8 +76,7 @@ def segment_protrusion(points: DataFrame, keys: Sequence[str], point_id: str, he
     """The largest radius-connected group of points that stand out from their key's height surface by `height`; passed if it has `least` points and twice the second's."""
     keys = list(keys)
     out = stored(fit_height_surface(points, keys).filter(F.abs("residual") >= height), "standing-out")
-    near = radius_join(out, out, radius, point_id, point_id, keys).filter(F.col(f"{point_id}_a") < F.col(f"{point_id}_b"))
-    roots = components(near, f"{point_id}_a", f"{point_id}_b")
+    roots = radius_components(out, radius, point_id, keys).hint("merge")
     rows = out.join(roots.withColumnRenamed("node", point_id), point_id, "left").withColumn("component", F.coalesce("root", point_id)).drop("root")
     sizes = rows.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("size"))
     w = Window.partitionBy(*keys).orderBy(F.desc("size"), "component")

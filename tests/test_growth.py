@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanspark.functions import columns as C
-from scanspark.operators import geometry, joins, maps, ranks, reports, surface
+from scanspark.operators import geometry, graph, joins, maps, ranks, reports, surface
 from scanspark.sources import sessions
 
 PLACE = "k long, i long, x double, y double, z double"
@@ -142,3 +142,22 @@ def test_voxels_of_rays_are_held_in_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows > 10_000 and peak < 150e6, peak
+
+
+def test_components_by_radius_are_those_of_all_pairs(spark, monkeypatch):
+    """Clouds, chains whose cells' smallest ids lie apart, copies, and points that are nowhere; 1,500 points in one spot meet as one cell."""
+    rng = np.random.default_rng(6)
+    at = np.concatenate([rng.uniform(0, 1, (150, 3)), rng.normal(0.5, 0.03, (100, 3)), np.linspace((0, 0, 2), (3, 0, 2), 40)])
+    rows = [(int(i % 2), int(i), *map(float, x)) for i, x in enumerate(np.concatenate([at, at[:20]]))] + [(0, 900, float("nan"), 0.0, 0.0), (0, 901, None, 0.0, 0.0)]
+    points = spark.createDataFrame(rows, PLACE)
+    for r in (0.05, 0.12, 0.2):
+        near = joins.radius_join(points, points, r, "i", "i", ["k"])
+        want = {x.node: x.root for x in graph.components(near, "i_a", "i_b").collect()}
+        got = {x.node: x.root for x in graph.radius_components(points, r, "i", ["k"]).collect()}
+        assert {n: x for n, x in got.items() if n in want} == want and all(n == x for n, x in got.items() if n not in want)
+        assert len(got) == len(rows) - 2
+    met, real = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda links, *more: (met.append(links.count()), real(links, *more))[1])
+    spot = spark.range(1500).select(F.lit(0).alias("k"), F.col("id").alias("i"), (F.col("id") * 1e-6).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    assert graph.radius_components(spot, 0.1, "i", ["k"]).agg(F.count("*"), F.max("root")).first() == (1500, 0)
+    assert max(met) <= 1
