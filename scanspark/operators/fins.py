@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanspark.operators.geometry import oriented_box
-from scanspark.operators.graph import components
-from scanspark.operators.joins import radius_join
+from scanspark.operators.graph import radius_components
 from scanspark.operators.surface import fit_height_surface
 from scanspark.sources.scratch import stored
 
@@ -57,8 +56,7 @@ def segment_fin(points: DataFrame, keys: Sequence[str], point_id: str, rules: Fi
     grown = (out >= rules.grow_height) | (along <= rules.seed_cosine)
     rows = stored(fitted.withColumns({"__seed": seed, "__grown": grown, "__main": along >= rules.main_cosine}), "heights")
     able = rows.filter("__grown")
-    near = radius_join(able, able, rules.radius, point_id, point_id, keys).filter(F.col(f"{point_id}_a") < F.col(f"{point_id}_b"))
-    roots = components(near, f"{point_id}_a", f"{point_id}_b").withColumnRenamed("node", point_id)
+    roots = radius_components(able, rules.radius, point_id, keys).withColumnRenamed("node", point_id).hint("merge")
     able = stored(able.join(roots, point_id, "left").withColumn("component", F.coalesce("root", point_id)).drop("root"), "fin-components")
     sizes = able.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("size"), F.max("__seed").alias("seeded")).filter(F.col("seeded") & (F.col("size") >= rules.least))
     w = Window.partitionBy(*keys).orderBy(F.desc("size"), "component")
