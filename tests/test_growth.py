@@ -161,3 +161,20 @@ def test_components_by_radius_are_those_of_all_pairs(spark, monkeypatch):
     spot = spark.range(1500).select(F.lit(0).alias("k"), F.col("id").alias("i"), (F.col("id") * 1e-6).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
     assert graph.radius_components(spot, 0.1, "i", ["k"]).agg(F.count("*"), F.max("root")).first() == (1500, 0)
     assert max(met) <= 1
+
+
+def test_boxes_at_one_place_are_tested_once(spark):
+    rng = np.random.default_rng(9)
+    ends = rng.uniform(-1, 1, (200, 2, 3))
+    capsules = [(k, 0, 0.05, *map(float, e.ravel())) for k, e in enumerate(ends)]
+    corners = [tuple(map(float, np.sort(rng.uniform(-1, 1, (2, 3)), axis=0).ravel())) for _ in range(4)]
+    boxes = [(k, *corners[k % 4]) for k in range(1400)] + [(None, *corners[0]), (7, *corners[1]), (2000, None, *corners[0][1:])]
+    columns = ", ".join(f"{a}{k} double" for k in (0, 1) for a in "xyz")
+    c, b = spark.createDataFrame(capsules, f"sample_id long, n long, r double, {columns}"), spark.createDataFrame(boxes, f"box_id long, {columns}")
+    got = joins.capsule_box_findings(c, b, 0.01, 0.4)
+    # By place, each box alone.
+    one = [joins.capsule_box_findings(c, spark.createDataFrame([(0, *at)], f"box_id long, {columns}"), 0.01, 0.4).select("sample_id").collect() for at in corners]
+    want = sorted((r.sample_id, -1 if i is None else i) for i, *at in boxes if None not in at for r in one[corners.index(tuple(at))])
+    assert sorted((r.sample_id, -1 if r.box_id is None else r.box_id) for r in got.collect()) == want
+    # Rows out come from many tasks.
+    assert got.rdd.getNumPartitions() > 4
