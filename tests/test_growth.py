@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanspark.functions import columns as C
-from scanspark.operators import geometry, graph, joins, maps, ranks, reports, surface
+from scanspark.operators import geometry, graph, joins, maps, planning, ranks, reports, surface
 from scanspark.sources import sessions
 
 PLACE = "k long, i long, x double, y double, z double"
@@ -178,3 +178,21 @@ def test_boxes_at_one_place_are_tested_once(spark):
     assert sorted((r.sample_id, -1 if r.box_id is None else r.box_id) for r in got.collect()) == want
     # Rows out come from many tasks.
     assert got.rdd.getNumPartitions() > 4
+
+
+def test_widest_gaps_are_those_of_brute_force_without_rows_for_pairs(spark):
+    rng = np.random.default_rng(4)
+    xy = np.concatenate([rng.normal(0, 0.05, (1500, 2)), rng.normal(0, 0.5, (100, 2)), np.zeros((40, 2)), [[9.0, 9.0]]])
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xy)] + [(-1, None, 0.0)], "point_id long, x double, y double")
+    want = {}
+    for i, p in enumerate(xy):
+        d = np.delete(xy, i, 0) - p
+        d = d[d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] <= 0.08 * 0.08]
+        a = np.sort(np.arctan2(d[:, 1], d[:, 0]))
+        if len(a):
+            want[i] = round(float(np.degrees(np.diff(a, append=a[0] + 2 * np.pi).max())), 6)
+    got = planning.widest_gaps(points, 0.08, 120.0)
+    rows = got.collect()
+    assert {r.point_id: round(r.gap_deg, 6) for r in rows} == want and len(rows) == len(want)
+    assert all(r.boundary == (r.gap_deg > 120) for r in rows)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
