@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from scanspark.functions import columns as C
 from scanspark.operators import geometry, graph, joins, maps, planning, ranks, reports, surface
 from scanspark.sources import sessions
+from scanspark.sources.scratch import stored
 
 PLACE = "k long, i long, x double, y double, z double"
 
@@ -196,3 +197,11 @@ def test_widest_gaps_are_those_of_brute_force_without_rows_for_pairs(spark):
     assert {r.point_id: round(r.gap_deg, 6) for r in rows} == want and len(rows) == len(want)
     assert all(r.boundary == (r.gap_deg > 120) for r in rows)
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in str(disk.getAllFiles().mkString("\n")).split("\n") if "shuffle_" in f}
+    before = shuffled()
+    stored(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count(), "counts")
+    assert not shuffled() - before
