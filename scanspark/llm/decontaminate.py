@@ -38,7 +38,7 @@ class Words:
         words = text.split()
         known = self.known
         try:
-            found = [known[w] for w in words]
+            out = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         except KeyError:
             if len(known) > CACHE:
                 known.clear()
@@ -46,9 +46,8 @@ class Words:
                 if w not in known:
                     form = w.decode("utf-8", "replace").lower().strip(ENDS)
                     known[w] = (xxhash.xxh64_intdigest(form) | 1) if form else 0
-            found = [known[w] for w in words]
-        out = np.array(found, np.uint64)
-        return out[out != 0]
+            out = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        return out if out.all() else out[out != 0]
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:
