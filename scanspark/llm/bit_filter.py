@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 FEWEST, MOST = 24, 30
 #: Parts of a filter that are made apart, a power of two.
 SLICES = 64
+#: Tasks that make the slices; the driver gets those of one after those of another.
+FETCHES = 8
 
 
 def bits_for(n: int) -> int:
@@ -27,7 +29,7 @@ def passing(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def bit_filter(hashes: DataFrame, column: str):
-    """A broadcast filter of a column of longs, sized by its rows. It is made in SLICES by the hashes' first bits, each in one task; the driver gets each slice once."""
+    """A broadcast filter of a column of longs, sized by its rows. It is made in SLICES by the hashes' first bits, each in one of FETCHES tasks; the driver gets each slice once."""
     power = bits_for(hashes.count())
     size = (1 << (power - 3)) // SLICES
 
@@ -42,7 +44,7 @@ def bit_filter(hashes: DataFrame, column: str):
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([b.tobytes() for b in held.values()], pa.binary())], ["slice", "bits"])
 
     bits = np.zeros(1 << (power - 3), np.uint8)
-    dealt = hashes.select(column).repartition(SLICES, F.shiftrightunsigned(column, 64 - SLICES.bit_length() + 1))
+    dealt = hashes.select(column).repartition(SLICES, F.shiftrightunsigned(column, 64 - SLICES.bit_length() + 1)).coalesce(FETCHES)
     for row in dealt.mapInArrow(part, "slice long, bits binary").toLocalIterator():
         bits[row[0] * size : (row[0] + 1) * size] |= np.frombuffer(row[1], np.uint8)
     return hashes.sparkSession.sparkContext.broadcast(bits)

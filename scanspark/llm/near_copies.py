@@ -5,7 +5,7 @@ prefixes finish the work: with all shingles in one fixed order, two sets as simi
 of each. A text is indexed by those, a fifth of its shingles at a bound of 0.8, however large the corpus is. Shingles that many texts share come last in the order, by how common they
 are, so they seldom are in a prefix. Texts that share a prefix shingle, and whose lengths, places and prefixes allow the bound, are compared by their whole sets.
 
-In a bucket of a shingle the texts meet its first ones; what is left meets the next ones, twice as many, as long as it has texts of two groups. So a family of copies costs its
+In a bucket of a shingle the texts meet its first ones; what is left meets the next ones, four times as many, as long as it has texts of two groups. So a family of copies costs its
 members, not its pairs, and no pair of different groups is left out.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from scanspark.llm import simhash
 from scanspark.llm.bit_filter import bit_filter, passing
-from scanspark.llm.shared import batches, stored
+from scanspark.llm.shared import batches, sized, stored
 from scanspark.llm.vocabulary import frequent
 from scanspark.operators.graph import components
 
@@ -31,10 +31,12 @@ from scanspark.operators.graph import components
 MOST_WORDS, MOST_KEYS, BLOCK = 1_000_000, 1_000_000, 2_000_000
 #: Pairs with one text that meet in one group.
 MOST_PAIRS = 1000
+#: Pairs of sketches, and of whole sets, that a task compares.
+SKETCH_PAIRS, SET_PAIRS = 20_000, 5_000
 #: A shingle is common if tasks that saw it twice or more saw it so often; so many of the most common are known to every task.
 COMMON, MOST_COMMON = 16, 1 << 20
-#: First texts of a bucket that the others meet, in the first round.
-HEADS = 2
+#: First texts of a bucket that the others meet, in the first round, and how many times as many in each further one.
+HEADS, GROWTH = 2, 4
 
 
 class WordHashes(dict):
@@ -153,17 +155,16 @@ def met(rows: DataFrame, heads: int, least: float) -> DataFrame:
     what is left: the rows after those, while a strong one is among them."""
     whole = Window.partitionBy("h")
     order = whole.orderBy(F.desc("strong"), "key")
-    rows = rows.withColumn("strong", strong(least))
-    own = F.struct("key", "n", "cap", "strong")
-    first = [F.nth_value(own, i + 1).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for i in range(heads)]
-    rows = rows.select("*", F.array(*first).alias("heads"), F.row_number().over(order).alias("at"), F.count(F.lit(1)).over(whole).alias("all"), F.sum(F.col("strong").cast("int")).over(whole).alias("fit"))
+    rows = rows.withColumn("strong", strong(least)).withColumn("at", F.row_number().over(order))
+    first = F.collect_list(F.when(F.col("at") <= heads, F.struct("key", "n", "cap", "strong", "at")))
+    rows = rows.select("*", first.over(whole).alias("heads"), F.count(F.lit(1)).over(whole).alias("all"), F.sum(F.col("strong").cast("int")).over(whole).alias("fit"))
     rows = rows.filter((F.col("all") > 1) & (F.col("fit") > 0))
 
-    def near(x: Column, i: Column) -> Column:
+    def near(x: Column) -> Column:
         n, cap = F.col("n"), F.col("cap")
         lengths = F.least(n, x["n"]) + 1e-6 >= least * F.greatest(n, x["n"])
         places = F.least(cap, x["cap"]) * (1 + least) + 1e-6 >= least * (n + x["n"])
-        return (i + 1 < F.col("at")) & x["strong"] & (x["key"] != F.col("key")) & lengths & places
+        return (x["at"] < F.col("at")) & x["strong"] & (x["key"] != F.col("key")) & lengths & places
 
     empty = F.lit(None)
     to = lambda h, n, cap, b: F.struct(h.cast("long").alias("h"), n.cast("int").alias("n"), cap.cast("int").alias("cap"), b.cast("long").alias("b"))
@@ -197,12 +198,14 @@ def sketches(docs: DataFrame, rows: DataFrame, least: float, size: int, order: B
     return chosen(docs, rows, made, "sketch")
 
 
-def beside(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    """a, b, x, y: pairs with what texts (key, name) have for both. What a b in many pairs has is dealt out with them."""
+def beside(pairs: DataFrame, texts: DataFrame, name: str, each: int) -> DataFrame:
+    """a, b, x, y: pairs (stored) with what texts (key, name) have for both, in a task for each `each` of them. What a b in many pairs has is dealt out with them."""
+    rows = pairs.count()
+    fit = lambda df: sized(df, rows, each)
     parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MOST_PAIRS).alias("parts"))
-    right = texts.select(F.col("key").alias("b"), F.col(name).alias("y")).join(parts, "b").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    left = pairs.join(parts, "b").join(texts.select(F.col("key").alias("a"), F.col(name).alias("x")), "a").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).drop("parts")
-    return left.join(right.drop("parts"), ["b", "part"]).select("a", "b", "x", "y")
+    right = fit(texts.select(F.col("key").alias("b"), F.col(name).alias("y")).join(parts, "b")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    left = fit(fit(pairs.join(parts, "b")).join(texts.select(F.col("key").alias("a"), F.col(name).alias("x")), "a")).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).drop("parts")
+    return fit(left.join(right.drop("parts"), ["b", "part"])).select("a", "b", "x", "y")
 
 
 def possible(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -219,7 +222,7 @@ def possible(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 good.append((shared + rest) * (1 + least) + 1e-6 >= least * (n + m))
             yield frame.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return beside(pairs, texts, "sketch").mapInArrow(compared, "a long, b long").distinct()
+    return beside(pairs, texts, "sketch", SKETCH_PAIRS).mapInArrow(compared, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -234,13 +237,14 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 good.append(common + 1e-9 >= least * (len(x) + len(y) - common))
             yield frame.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return beside(pairs, sets, "shingles").mapInArrow(compared, "a long, b long").distinct()
+    return beside(pairs, sets, "shingles", SET_PAIRS).mapInArrow(compared, "a long, b long").distinct()
 
 
 def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pairs whose texts are not in one group yet."""
+    """The pairs (stored) whose texts are not in one group yet."""
+    rows = pairs.count()
     group = lambda c: groups.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    both = pairs.join(group("a"), "a", "left").join(group("b"), "b", "left")
+    both = sized(sized(pairs.join(group("a"), "a", "left"), rows).join(group("b"), "b", "left"), rows)
     return both.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
 
 
@@ -271,14 +275,15 @@ def near_links(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
         pairs = stored(possible(pairs, drawn, least), "near-possible")
         pairs = pairs if groups is not None else stored(pairs.unionByName(prints).distinct(), "near-pairs")
         links = stored(verified(pairs, sets_of(pairs), least), "near-links")
-        groups = components(links if groups is None else groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
-        named = rest.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        links = links if groups is None else groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)
+        groups = stored(components(links), "near-groups")
+        named = sized(rest.join(groups.withColumnRenamed("node", "key"), "key", "left"), rest.count()).withColumn("root", F.coalesce("root", "key"))
         bucket = Window.partitionBy("h")
         open_ = named.withColumns({"__low": F.min("root").over(bucket), "__high": F.max("root").over(bucket)}).filter("__low <> __high")
         rest = stored(open_.select("h", "key", "n", "cap"), "near-rest")
         if rest.isEmpty():
             return groups
-        heads *= 2
+        heads *= GROWTH
 
 
 def keep_one(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:

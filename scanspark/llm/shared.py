@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanspark.sources.scratch import scratch_path, stored
+from scanspark.sources.scratch import scratch_path, sized, stored
 
-__all__ = ["LOWER", "UPPER", "WHITE", "batches", "lower_ascii", "scratch_path", "stored", "texts"]
+__all__ = ["LOWER", "UPPER", "WHITE", "batches", "lower_ascii", "scratch_path", "sized", "stored", "texts"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
