@@ -24,7 +24,9 @@ from scanspark.llm.shared import batches, stored
 from scanspark.llm.vocabulary import count_types, frequent
 
 #: Tokens whose neighbours a task looks at at once, and neighbours that it holds before it adds them up.
-BLOCK = 2_000_000
+BLOCK = 500_000
+#: Words that a task places at once.
+PLACED = 5_000
 #: A neighbour that is not in the frequent table.
 OPEN = 255
 
@@ -179,7 +181,7 @@ def _blocks(frames: Iterable[pa.RecordBatch], other: int) -> Iterator[tuple[np.n
     """Word numbers of whole texts, an end before the first, and the hashes of the other words among them; about BLOCK tokens at once."""
     ids, hashes, waiting = [], [], 0
     start = np.array([other + 1], np.int32)
-    for frame in frames:
+    for frame in batches(frames):
         for i, h in zip(*(c.to_pylist() for c in frame.columns), strict=True):
             ids.append(np.frombuffer(i, np.int32))
             hashes.append(np.frombuffer(h, np.int64))
@@ -289,7 +291,7 @@ def _placed(found: DataFrame, pairs: np.ndarray, classes: int, parts: int, singl
         def fold() -> None:
             held[:] = [_added_up(*(np.concatenate(x) for x in zip(*held, strict=True)))]
 
-        for frame in frames:
+        for frame in batches(frames):
             for w, a, b in zip(*(frame.column(i).to_pylist() for i in range(3)), strict=True):
                 w, one = np.frombuffer(w, np.int64), np.ones(len(w) // 8, np.int64)
                 held.append((w, np.frombuffer(a, np.uint8).astype(np.int16), one))
@@ -304,9 +306,9 @@ def _placed(found: DataFrame, pairs: np.ndarray, classes: int, parts: int, singl
             return
         starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         cells = np.zeros(groups * groups, np.int64)
-        for at in range(0, len(starts), 20_000):
-            some = starts[at : at + 20_000]
-            end = starts[at + 20_000] if at + 20_000 < len(starts) else len(h)
+        for at in range(0, len(starts), PLACED):
+            some = starts[at : at + PLACED]
+            end = starts[at + PLACED] if at + PLACED < len(starts) else len(h)
             index = np.searchsorted(some, np.arange(some[0], end), side="right") - 1
             beside = np.zeros((2, len(some), groups))
             side, group, times = c[some[0] : end] // 256, c[some[0] : end] % 256, n[some[0] : end]
