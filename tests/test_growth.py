@@ -164,6 +164,34 @@ def test_components_by_radius_are_those_of_all_pairs(spark, monkeypatch):
     assert max(met) <= 1
 
 
+@pytest.mark.parametrize("tile", [7, 1024])
+def test_pairs_of_a_table_with_itself_are_those_of_brute_force(spark, monkeypatch, tile):
+    """By key and with copies, one id twice, and points that are nowhere."""
+    monkeypatch.setattr(joins, "TILE", tile, raising=False)
+    monkeypatch.setattr(joins, "AT_ONCE", 50 * tile, raising=False)
+    rows = [*cloud(200, 8), *cloud(20, 9, 3), (0, 1, 0.3, 0.3, 0.3)]
+    lost = [(0, 900, float("nan"), 0.0, 0.0), (0, 901, None, 0.0, 0.0), (None, 902, 0.0, 0.0, 0.0), (1, 903, 0.0, float("inf"), 0.0), (1, 904, 0.0, 0.0, float("-inf"))]
+    d = gaps(rows, rows)
+    for r in (0.001, 0.4):
+        points = spark.createDataFrame(rows + lost, PLACE)
+        got = sorted(map(tuple, joins.radius_join(points, points, r, "i", "i", ["k"]).select("k", "i_a", "i_b", "d2").collect()))
+        assert got == sorted((rows[a][0], rows[a][1], rows[b][1], float(d[a, b])) for a, b in zip(*np.nonzero(d <= r * r), strict=True))
+    none = points.limit(0)
+    assert joins.radius_join(none, none, 0.1, "i", "i").isEmpty()
+
+
+def test_pairs_of_a_dense_cell_come_from_many_tasks_and_pack(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(joins, "TILE", 100, raising=False)
+    monkeypatch.setattr(joins, "TESTS", 100_000, raising=False)
+    at = np.random.default_rng(10).uniform(0, 0.05, (1500, 3))
+    points = spark.createDataFrame([(0, i, *map(float, x)) for i, x in enumerate(at)], PLACE)
+    joins.radius_join(points, points, 0.1, "i", "i").select("i_a", "i_b", F.round("d2", 9).alias("d2")).write.parquet(f"{tmp_path}/pairs")
+    sizes = [p.stat().st_size for p in tmp_path.rglob("*.parquet")]
+    assert spark.read.parquet(f"{tmp_path}/pairs").count() == 1500 * 1500
+    assert len(sizes) > 8 and max(sizes) < 0.3 * sum(sizes)
+    assert sum(sizes) < 8 * 1500 * 1500
+
+
 def test_boxes_at_one_place_are_tested_once(spark):
     rng = np.random.default_rng(9)
     ends = rng.uniform(-1, 1, (200, 2, 3))
