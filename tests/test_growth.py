@@ -209,6 +209,19 @@ def test_boxes_at_one_place_are_tested_once(spark):
     assert got.rdd.getNumPartitions() > 4
 
 
+def test_findings_of_boxes_are_tasks_by_rows_out(spark, monkeypatch):
+    """One place of boxes that all capsules meet, one of them with a null id: cuts of any size give all findings, and tasks follow these, not a fixed number of parts."""
+    for name, size in (("MEET", 30), ("IDS", 16), ("PART_IDS", 64), ("ROWS", 500), ("FEW_ROWS", 500)):
+        monkeypatch.setattr(joins, name, size, raising=False)
+    columns = ", ".join(f"{a}{k} double" for k in (0, 1) for a in "xyz")
+    c = spark.createDataFrame([(k, k % 3, 0.05, *[0.001 * k] * 6) for k in range(250)], f"sample_id long, n long, r double, {columns}")
+    b = spark.createDataFrame([(k or None, *[-1.0] * 3, *[1.0] * 3) for k in range(200)], f"box_id long, {columns}")
+    got = joins.capsule_box_findings(c, b, 0.01, 0.4)
+    assert got.rdd.getNumPartitions() == 100
+    assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) < 250 * 200 / 8
+    assert sorted(map(tuple, got.select("sample_id", "n", F.coalesce("box_id", F.lit(0))).collect())) == [(k, k % 3, i) for k in range(250) for i in range(200)]
+
+
 def test_widest_gaps_are_those_of_brute_force_without_rows_for_pairs(spark):
     rng = np.random.default_rng(4)
     xy = np.concatenate([rng.normal(0, 0.05, (1500, 2)), rng.normal(0, 0.5, (100, 2)), np.zeros((40, 2)), [[9.0, 9.0]]])
