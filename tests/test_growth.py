@@ -123,6 +123,21 @@ def test_pairs_of_a_key_are_work_for_many_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_opposing_pairs_pack_and_are_whole(spark, monkeypatch, tmp_path):
+    """Files hold a family's pairs in a fraction of a byte each; cuts of any size give all pairs, of families that have both sides and no null key."""
+    sides = spark.range(4000).select(F.lit(1).alias("k"), F.xxhash64("id").alias("id"), (F.col("id") % 2 - 0.5).alias("off"))
+    joins.opposing_pairs(sides, ["k"], "off", "id").write.parquet(f"{tmp_path}/pairs")
+    sizes = [p.stat().st_size for p in tmp_path.rglob("*.parquet")]
+    got = spark.read.parquet(f"{tmp_path}/pairs")
+    assert got.count() == got.distinct().count() == 2000 * 2000
+    assert sum(sizes) < 0.6 * 2000 * 2000 and max(sizes) < 0.3 * sum(sizes)
+    for name, size in (("MEET", 3), ("IDS", 2), ("PART_IDS", 4), ("ROWS", 20), ("FEW_ROWS", 20)):
+        monkeypatch.setattr(joins, name, size, raising=False)
+    rows = [(k, f, i, float(i % 3 - 1)) for i in range(90) for k, f in [[(1, "a"), (1, "b"), (2, "a"), (None, "a")][i % 4]]] + [(3, "a", 200, 1.0), (4, "b", 201, -1.0), (1, "a", 202, None)]
+    got = joins.opposing_pairs(spark.createDataFrame(rows, "k long, f string, id long, off double"), ["k", "f"], "off", "id").select("k", "f", "negative_id", "positive_id").collect()
+    assert sorted(map(tuple, got)) == sorted((k, f, i, j) for k, f, i, o in rows for m, g, j, p in rows if k and (k, f) == (m, g) and (o or 0) < 0 < (p or 0))
+
+
 def test_poses_that_are_alike_are_weighted(spark, monkeypatch):
     turns = [(1.0, 0.0), (0.0, 1.0), (-1.0, 0.0)]
     poses = [(1, i, c, -s, 0.0, s, c, 0.0, 0.0, 0.0, 1.0, float(i % 2), 0.0, 0.0) for i in range(60) for c, s in [turns[i % 3]]]
