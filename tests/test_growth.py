@@ -207,6 +207,21 @@ def test_pairs_of_a_dense_cell_come_from_many_tasks_and_pack(spark, monkeypatch,
     assert sum(sizes) < 8 * 1500 * 1500
 
 
+def test_pairs_of_copies_are_whole_and_pack(spark, tmp_path):
+    """40 points at each place, some ids null or equal; files hold a distance about once for all pairs of two places."""
+    rows = [*cloud(12, 11, 40), (0, None, 0.3, 0.3, 0.3), (0, None, 0.3, 0.3, 0.3), (0, 5, -0.0, 0.0, 0.0), (0, 5, 0.0, 0.0, 0.0)]
+    d = gaps(rows, rows)
+    points = spark.createDataFrame(rows, PLACE)
+    got = joins.radius_join(points, points, 0.4, "i", "i", ["k"]).select("k", F.coalesce("i_a", F.lit(-1)), F.coalesce("i_b", F.lit(-1)), "d2").collect()
+    no = lambda i: -1 if i is None else i
+    assert sorted(map(tuple, got)) == sorted((rows[a][0], no(rows[a][1]), no(rows[b][1]), float(d[a, b])) for a, b in zip(*np.nonzero(d <= 0.16), strict=True))
+    at = np.random.default_rng(12).uniform(0, 0.05, (60, 3))
+    points = spark.createDataFrame([(0, 60 * c + i, *map(float, x)) for c in range(40) for i, x in enumerate(at)], PLACE)
+    joins.radius_join(points, points, 0.1, "i", "i").select("i_a", "i_b", "d2").write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").count() == 2400 * 2400
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 1.2 * 2400 * 2400
+
+
 def test_boxes_at_one_place_are_tested_once(spark):
     rng = np.random.default_rng(9)
     ends = rng.uniform(-1, 1, (200, 2, 3))
